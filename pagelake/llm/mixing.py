@@ -48,7 +48,7 @@ def targets(totals: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epoc
     # T if this source and all after it still send: the rest of the budget over their weights.
     left = (total * budget - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(from_here)
     rows = rows.withColumn("left", left).withColumn("dry", F.col("most") <= F.col("weight") * F.col("left"))
-    end = F.min(F.when(~F.col("dry"), F.col("left"))).over(Window.partitionBy())
+    end = F.max(F.when(~F.col("dry"), F.col("left"))).over(Window.partitionBy())
     goal = F.when(F.col("dry") | end.isNull(), F.col("most")).otherwise(F.col("weight") * end)
     return rows.select("source", "source_size", "weight", goal.alias("target"))
 

@@ -129,8 +129,8 @@ WITH d AS (
     FROM s WINDOW w AS (ORDER BY source_size * 2.0::DOUBLE / weight, source ASC NULLS LAST)
 ), t AS (
     SELECT source, source_size, weight,
-        CASE WHEN most <= weight * rest OR min(rest) FILTER (most > weight * rest) OVER () IS NULL THEN most
-            ELSE weight * min(rest) FILTER (most > weight * rest) OVER () END AS target
+        CASE WHEN most <= weight * rest OR max(rest) FILTER (most > weight * rest) OVER () IS NULL THEN most
+            ELSE weight * max(rest) FILTER (most > weight * rest) OVER () END AS target
     FROM r
 ), o AS (
     SELECT d.*, source_size, target,
