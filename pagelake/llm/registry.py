@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import exact_dedup, mixing, pieces, quality_rules, simhash
+from pagelake.llm import exact_dedup, mixing, pieces, quality_classifier, quality_rules, sharding, simhash, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    table, bias = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, table, bias)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -36,6 +42,26 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    table, lengths = token_output.write(_table(spark, sf_dir, "documents"), definition)
+    return token_output.read(table, lengths, token_output.crc_of_ids, "ids_crc32 long")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang",
+        F.when(F.col("text").isNull(), 16).otherwise(F.octet_length("text") + 16).cast("long").alias("size"),
+        F.crc32(text).cast("long").alias("text_crc32"),
+    )
+    dims = {"source": sharding.text_rank(F.col("source")), "lang": sharding.text_rank(F.col("lang")), "size": F.col("size")}
+    return sharding.shard(docs, dims).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.orderBy("virtual_finish", "id").select(
@@ -54,9 +80,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_token_binary_output": op6_token_binary_output,
+    "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "pipeline": pipeline,
