@@ -8,6 +8,7 @@ ones go to the tokenizer.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -38,32 +39,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class ChunkCache:
-    """ids of chunks. ``encode`` maps a list of byte strings to (all ids, number of ids of each)."""
+class Hasher:
+    """64-bit hashes of byte spans: position-free prefix sums of random byte values times powers of an odd base."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
-        self.encode_new, self.limit = encode, limit
+    def __init__(self) -> None:
         self.values = _mixed(np.arange(1, 257, dtype=np.uint64))
         self.powers = _powers(_BASE, PIECE + 1)
         self.inverse = _powers(pow(_BASE, -1, 1 << 64), PIECE + 1)
-        self.clear()
 
-    def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.pools: list[np.ndarray] = []
-        self.size = 0
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-
-    def hashes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each chunk; the last chunk ends with the data."""
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the spans, which are in order and do not overlap."""
         out = np.empty(len(starts), np.uint64)
-        ends = np.append(starts[1:], len(data))
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, side="right")))
             s, e = int(starts[i]), int(ends[j - 1])
-            if e - s > PIECE:  # one chunk longer than a piece
-                out[i] = np.uint64(hash(data[s:e].tobytes()) & ((1 << 64) - 1))
+            if e - s > PIECE:  # one span longer than a piece
+                out[i] = np.frombuffer(hashlib.blake2b(data[s:e].tobytes(), digest_size=8).digest(), np.uint64)[0]
             else:
                 h = np.zeros(e - s + 1, np.uint64)
                 np.cumsum(self.values[data[s:e]] * self.powers[: e - s], out=h[1:])
@@ -72,13 +64,28 @@ class ChunkCache:
             i = j
         return out
 
+
+class ChunkCache:
+    """ids of chunks. ``encode`` maps a list of byte strings to (all ids, number of ids of each)."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
+        self.encode_new, self.limit = encode, limit
+        self.hasher = Hasher()
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.pools: list[np.ndarray] = []
+        self.size = 0
+        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks one after the other, number of ids of each chunk)."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self.slots) > self.limit:
             self.clear()
-        unique, first, back = np.unique(self.hashes(data, starts), return_index=True, return_inverse=True)
+        unique, first, back = np.unique(self.hasher(data, starts, np.append(starts[1:], len(data))), return_index=True, return_inverse=True)
         keys = unique.tolist()
         slot = np.fromiter((self.slots.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(slot < 0)
