@@ -65,44 +65,77 @@ class Hasher:
         return out
 
 
+#: Places of the cache's table and how many of them a hash may take.
+TABLE_BITS, PROBES = 22, 4
+
+
 class ChunkCache:
-    """ids of chunks. ``encode`` maps a list of byte strings to (all ids, number of ids of each)."""
+    """ids of chunks. ``encode`` maps a list of byte strings to (all ids, number of ids of each).
+
+    The table is two flat arrays with a few probes per hash; where all are taken
+    an older entry is overwritten and, if met again, encoded again. So memory is
+    bounded by the table and ``limit``, at which everything is forgotten.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
         self.encode_new, self.limit = encode, limit
         self.hasher = Hasher()
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.pools: list[np.ndarray] = []
-        self.size = 0
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.key, self.slot = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.pool, self.size, self.count = np.zeros(1 << 20, np.int32), 0, 0
+        self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+
+    def _places(self, hashes: np.ndarray, probe: int) -> np.ndarray:
+        return ((hashes + np.uint64(probe)) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.full(len(hashes), -1, np.int64)
+        for probe in range(PROBES):
+            at = self._places(hashes, probe)
+            found = np.where((self.key[at] == hashes) & (found < 0), self.slot[at], found)
+        return found
+
+    def _insert(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        for probe in [*range(PROBES), None]:
+            at = self._places(hashes, probe or 0)
+            free = np.flatnonzero(self.key[at] == 0) if probe is not None else np.arange(len(at))
+            _, first = np.unique(at[free], return_index=True)
+            take = free[first]
+            self.key[at[take]], self.slot[at[take]] = hashes[take], slots[take]
+            left = np.ones(len(hashes), bool)
+            left[take] = False
+            hashes, slots = hashes[left], slots[left]
+
+    def _add(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Numbers of new entries with these ids."""
+        while self.count + len(n) > len(self.start):
+            self.start, self.length = np.append(self.start, self.start), np.append(self.length, self.length)
+        if self.size + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(max(len(ids), len(self.pool)), np.int32))
+        new = np.arange(self.count, self.count + len(n))
+        self.start[new], self.length[new] = self.size + np.cumsum(n) - n, n
+        self.pool[self.size : self.size + len(ids)] = ids
+        self.size, self.count = self.size + len(ids), self.count + len(n)
+        return new
 
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks one after the other, number of ids of each chunk)."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if len(self.slots) > self.limit:
+        if self.count > self.limit:
             self.clear()
-        unique, first, back = np.unique(self.hasher(data, starts, np.append(starts[1:], len(data))), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        slot = np.fromiter((self.slots.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            ends = np.append(starts[1:], len(data))
-            raw = data.tobytes()
-            ids, n = self.encode_new([raw[starts[k] : ends[k]] for k in first[new].tolist()])
-            base, count = self.size, len(self.slots)
-            while count + len(new) > len(self.start):
-                self.start, self.length = np.append(self.start, self.start), np.append(self.length, self.length)
-            self.length[count : count + len(new)] = n
-            self.start[count : count + len(new)] = base + np.cumsum(n) - n
-            self.pools.append(ids.astype(np.int32))
-            self.size += len(ids)
-            slot[new] = np.arange(count, count + len(new))
-            self.slots.update(zip((keys[k] for k in new.tolist()), slot[new].tolist(), strict=True))
-        if len(self.pools) > 1:
-            self.pools = [np.concatenate(self.pools)]
-        at = slot[back]
-        return self.pools[0][ragged(self.start[at], self.length[at])], self.length[at]
+        ends = np.append(starts[1:], len(data))
+        hashes = np.maximum(self.hasher(data, starts, ends), np.uint64(1))
+        at = self._find(hashes)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            unique, first, back = np.unique(hashes[lost], return_index=True, return_inverse=True)
+            where = lost[first]
+            raw = memoryview(data)
+            new = self._add(*self.encode_new([bytes(raw[a:b]) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]))
+            self._insert(unique, new.astype(np.int32))
+            at[lost] = new[back]
+        n = self.length[at].astype(np.int64)
+        return self.pool[ragged(self.start[at].astype(np.int64), n)], n

@@ -25,6 +25,7 @@ empty table gives no blocks and no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -70,7 +71,7 @@ class TextEncoder:
         out, step = [np.zeros(0, np.int32)], 4096
         for s in range(0, len(texts), step):
             joined = self.mark.join(texts[s : s + step]) + self.mark
-            out.append(np.array(self.marked.encode(joined, add_special_tokens=False).ids, np.int32))
+            out.append(np.array(self.marked.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32))
         ids = np.concatenate(out)
         ends = np.flatnonzero(ids == self.mark_id)
         return ids[ids != self.mark_id], np.diff(np.append(-1, ends)) - 1
@@ -102,8 +103,9 @@ def _encoder(definition: str) -> TextEncoder:
 
 
 def token_ids(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids) with the end id appended."""
+    """(doc_id, ids) with the end id appended; ids are packed little-endian, ``id_type`` says how."""
     id_type = df.schema[doc_id].dataType.simpleString()
+    packed = id_format(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
@@ -114,19 +116,38 @@ def token_ids(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str
                 ends = np.cumsum(n)
                 if end_id is not None:
                     ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(n) + 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _blobs(ids.astype(packed).tobytes(), ends * packed.itemsize)], names=["doc_id", "ids"])
 
-    return df.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {id_type}, ids array<int>")
+    return df.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {id_type}, ids binary")
 
 
-def id_counts(ids: DataFrame) -> np.ndarray:
+def id_format(definition: str) -> np.dtype:
+    """Two bytes an id where the vocabulary allows it, four else."""
+    parts = json.loads(definition)
+    most = max([*parts["model"]["vocab"].values(), *(t["id"] for t in parts.get("added_tokens", []))], default=0)
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
+
+def _blobs(raw: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary column from its bytes and the end of each value."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def _unpacked(column: pa.Array, packed: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows one after the other, number of ids of each row)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    ids = np.frombuffer(column.buffers()[2], packed, count=(offsets[-1] - offsets[0]) // packed.itemsize, offset=int(offsets[0])) if len(column) and offsets[-1] > offsets[0] else np.zeros(0, packed)
+    return ids, np.diff(offsets).astype(np.int64) // packed.itemsize
+
+
+def id_counts(ids: DataFrame, packed: np.dtype) -> np.ndarray:
     """How often each id occurs, over all documents; the tables are as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False))
+            n = np.bincount(_unpacked(b.column(0), packed)[0])
             total = np.pad(total, (0, max(0, len(n) - len(total))))
             total[: len(n)] += n
         at = np.flatnonzero(total)
@@ -235,7 +256,7 @@ def unpack(words: np.ndarray, start_bit: np.ndarray, n: np.ndarray, table: tuple
     return out
 
 
-def coded(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
+def coded(ids: DataFrame, lengths: np.ndarray, packed: np.dtype) -> DataFrame:
     """(doc_id, n, payload, marks): each document's code bits and the bit offset of every SEGMENT-th id."""
     id_type = ids.schema["doc_id"].dataType.simpleString()
     codes = canonical_codes(lengths)
@@ -244,12 +265,9 @@ def coded(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 b = batch.slice(s, TEXTS_AT_ONCE)
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-                n = np.diff(b.column(1).offsets.to_numpy()).astype(np.int64)
+                flat, n = _unpacked(b.column(1), packed)
                 words, count, own = pack(flat, n, lengths, codes)
-                raw = words.astype(">u4").tobytes()
-                offsets = np.append(0, np.cumsum(count) * 4).astype(np.int32)
-                payload = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                payload = _blobs(words.astype(">u4").tobytes(), np.cumsum(count) * 4)
                 marks_of = (n + SEGMENT - 1) // SEGMENT
                 at = np.repeat(np.cumsum(n) - n, marks_of) + SEGMENT * ragged(np.zeros(len(n), np.int64), marks_of)
                 marks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(marks_of)), pa.int32()), pa.array(own[at], pa.int64()))
@@ -297,9 +315,9 @@ def blocks(coded_docs: DataFrame) -> DataFrame:
 def write(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> tuple[DataFrame, np.ndarray]:
     """Write the ids of all documents; gives (the table of blocks, the code lengths)."""
     ids = token_ids(df, definition, doc_id, text, end_id)
-    path_ids = stored(ids, "token-ids", compression="zstd")
-    lengths = code_lengths(id_counts(path_ids))
-    return stored(blocks(coded(path_ids, lengths)), "token-blocks"), lengths
+    kept, packed = stored(ids, "token-ids", compression="zstd"), id_format(definition)
+    lengths = code_lengths(id_counts(kept, packed))
+    return stored(blocks(coded(kept, lengths, packed)), "token-blocks"), lengths
 
 
 def read(table: DataFrame, lengths: np.ndarray, each: Callable[[np.ndarray, np.ndarray], list[pa.Array]] | None = None, columns: str = "ids array<int>") -> DataFrame:
