@@ -68,11 +68,11 @@ def ward_linkage(distances: np.ndarray) -> list[tuple[int, int, float, int]]:
 
 def per_month(df: DataFrame, group: str, date: str, value: str) -> DataFrame:
     """Sums per calendar month, zero in months between a group's first and last without rows."""
-    months = df.where(F.col(date).isNotNull()).groupBy(group, F.trunc(date, "MM").alias("month")).agg(F.sum(value).alias("total"))
-    span = months.groupBy(F.col(group).alias("g")).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    grid = span.select("g", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("m"))
-    out = grid.join(months, F.col("g").eqNullSafe(F.col(group)) & (F.col("m") == F.col("month")), "left")
-    return out.select(F.col("g").alias(group), F.last_day("m").alias("month_end"), F.date_format("m", "MMMM").alias("month_name"), F.coalesce("total", F.lit(0)).alias("total"))
+    months = df.where(F.col(date).isNotNull()).groupBy(F.col(group).alias("_of"), F.trunc(date, "MM").alias("_month")).agg(F.sum(value).alias("total"))
+    span = months.groupBy(F.col("_of").alias("_g")).agg(F.min("_month").alias("lo"), F.max("_month").alias("hi"))
+    grid = span.select("_g", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("_m"))
+    out = grid.join(months, F.col("_g").eqNullSafe(F.col("_of")) & (F.col("_m") == F.col("_month")), "left")
+    return out.select(F.col("_g").alias(group), F.last_day("_m").alias("month_end"), F.date_format("_m", "MMMM").alias("month_name"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def mentions(df: DataFrame, text: str, pattern: str) -> DataFrame:

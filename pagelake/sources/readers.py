@@ -67,7 +67,7 @@ def annotated_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 def text_folder(spark: SparkSession, path: str, column: str = "content") -> DataFrame:
     """(file_name without extension, whole text) of a folder's .txt files."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("file_name"), F.col("value").alias(column))
 
 
