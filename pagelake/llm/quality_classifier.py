@@ -161,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
             )
 
     # at most 2 * per_class ids, so the broadcast is bounded
-    sample = docs.join(F.broadcast(picked), docs[doc_id] == F.col("id")).select("id", F.col("y").cast("int").alias("y"), F.col(text).alias("t"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{text}`").alias("t"))
+    sample = slim.join(F.broadcast(picked), F.col("of") == F.col("id")).select("id", F.col("y").cast("int").alias("y"), "t")
     id_type = sample.schema["id"].dataType.simpleString()
     rows = sample.dropDuplicates(["id"]).mapInArrow(run, f"id {id_type}, y int, at array<int>, n array<int>").toArrow().sort_by("id")
     examples = [
