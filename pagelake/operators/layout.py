@@ -119,26 +119,47 @@ def adjust_x(df: DataFrame) -> DataFrame:
     return df.withColumns({"x1": F.when(wide, F.least("x1", "c1")).otherwise(F.col("x1")), "x2": F.when(wide, F.greatest("x2", "c2")).otherwise(F.col("x2"))})
 
 
-def gap_boxes(df: DataFrame) -> DataFrame:
-    """Text boxes for empty tops and bottoms of columns, on pages of one block with columns."""
-    ok = df.withColumn("_blocks", F.size(F.collect_set("page_block").over(by_page()))).withColumn("_cols", F.max("column_number").over(by_page()))
-    ok = ok.withColumns({"_top": F.min("y1").over(by_page()), "_low": F.max("y2").over(by_page())}).where("_blocks = 1 AND _cols > 1 AND column_number > 0")
-    box = F.struct("x1", "x2", "y1", "y2", "page_block")
-    cols = ok.groupBy("page_id", "column_number").agg(
-        F.min_by(box, "reading_order").alias("a"), F.max_by(box, "reading_order").alias("b"), F.min("_top").alias("top"), F.max("_low").alias("low"),
-        F.min("c1").alias("c1"), F.min("c2").alias("c2"), F.first("filename").alias("filename"), F.first("issue").alias("issue"),
-    )
-    above = F.struct(F.col("a.x1").alias("x1"), F.col("a.x2").alias("x2"), F.col("top").alias("y1"), F.col("a.y1").alias("y2"), F.col("a.page_block").alias("page_block"), F.lit(-2).alias("box_id"))
-    below = F.struct(F.col("b.x1").alias("x1"), F.col("b.x2").alias("x2"), F.col("b.y2").alias("y1"), F.col("low").alias("y2"), F.col("b.page_block").alias("page_block"), F.lit(-1).alias("box_id"))
-    new = F.filter(F.array(F.when(F.col("a.y1") > F.col("top"), above), F.when(F.col("b.y2") < F.col("low"), below)), lambda x: x.isNotNull())
-    out = cols.select("page_id", "filename", "issue", "column_number", "c1", "c2", F.explode(new).alias("n"))
-    out = out.select("page_id", "filename", "issue", "column_number", "c1", "c2", "n.*", F.lit("text").alias("class"), F.lit(-1).alias("reading_order"))
-    # their page-wide figures cover only the new boxes
-    return basic_box_data(out)
-
-
 def fill_column_gaps(df: DataFrame) -> DataFrame:
-    return df.unionByName(gap_boxes(df), allowMissingColumns=True)
+    """Add text boxes for empty tops and bottoms of columns, on pages of one block with columns.
+
+    The first and last box of a column each bring their new neighbour along, so
+    the page's partitioning holds and nothing is computed twice. Page-wide
+    figures of the new boxes cover only the new boxes of the page.
+    """
+    column = Window.partitionBy("page_id", "column_number")
+    df = df.withColumns({"_blocks": F.size(F.collect_set("page_block").over(by_page())), "_cols": F.max("column_number").over(by_page()), "_top": F.min("y1").over(by_page()), "_low": F.max("y2").over(by_page())})
+    df = df.withColumns({"_first": F.min("reading_order").over(column), "_last": F.max("reading_order").over(column)})
+    ok = (F.col("_blocks") == 1) & (F.col("_cols") > 1) & (F.col("column_number") > 0)
+    above = ok & (F.col("reading_order") == F.col("_first")) & (F.col("y1") > F.col("_top"))
+    below = ok & (F.col("reading_order") == F.col("_last")) & (F.col("y2") < F.col("_low"))
+    df = df.select("*", F.explode(F.array_compact(F.array(F.lit(0), F.when(above, 1), F.when(below, 2)))).alias("_k"))
+    new, up = F.col("_k") > 0, F.col("_k") == 1
+    kept = {"page_id", "filename", "issue", "x1", "x2", "c1", "c2", "column_number", "page_block"}
+    own = {
+        "class": F.lit("text"), "y1": F.when(up, F.col("_top")).otherwise(F.col("y2")), "y2": F.when(up, F.col("y1")).otherwise(F.col("_low")),
+        "reading_order": F.lit(-1), "box_id": F.when(up, -2).otherwise(-1),
+    }
+    scratch = ["_blocks", "_cols", "_top", "_low", "_first", "_last"]
+    names = [c for c in df.columns if c not in (*scratch, "_k")]
+
+    def value(c: str) -> Column:
+        if c in kept:
+            return F.col(c)
+        old = F.when(~new, F.col(c))
+        return old.otherwise(own[c]) if c in own else old
+
+    df = df.select(*[value(c).alias(c) for c in names], "_k")
+    mine = lambda f, c: f(F.when(new, F.col(c))).over(by_page())
+    df = df.withColumns({"_w": F.col("x2") - F.col("x1"), "_x1": mine(F.min, "x1"), "_y1": mine(F.min, "y1"), "_x2": mine(F.max, "x2"), "_y2": mine(F.max, "y2")})
+    df = df.withColumns({"_m": mine(F.median, "_w"), "_pw": (F.col("_x2") - F.col("_x1")).cast("int"), "_ph": (F.col("_y2") - F.col("_y1")).cast("int")})
+    df = df.withColumn("_n", F.floor(F.try_divide("_pw", "_m")).cast("double"))
+    figures = {
+        "width": F.col("_w"), "height": F.col("y2") - F.col("y1"), "ratio": F.try_divide(F.col("y2") - F.col("y1"), F.col("_w")), "center_x": F.col("_w") + F.col("x1"),
+        "center_y": F.col("y2"), "median_box_width": F.col("_m"), "print_x1": F.col("_x1"), "print_y1": F.col("_y1"), "print_x2": F.col("_x2"), "print_y2": F.col("_y2"),
+        "print_height": F.col("_ph"), "print_width": F.col("_pw"), "print_area": F.col("_ph").cast("long") * F.col("_pw").cast("long"),
+        "column_counts": F.col("_n"), "column_width": F.try_divide("_pw", "_n"),
+    }
+    return df.select(*[(F.when(new, figures[c]).otherwise(F.col(c)) if c in figures else F.col(c)).alias(c) for c in names])
 
 
 def merge_within_column(df: DataFrame, width_multiplier: float = 1.5) -> DataFrame:
