@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagelake.llm import exact_dedup, mixing, pieces, quality_rules, simhash
 from pagelake.llm.common import stored
 from pagelake.llm.registry import tokenizer_path
+from pagelake.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
@@ -37,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix."""
+    ship(spark)
     return pieces.encode(docs, pieces.model_bytes(spark, tokenizer_path("piece_bpe_32k.model")))
 
 
