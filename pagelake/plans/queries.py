@@ -359,7 +359,7 @@ SELECT conv_id::VARCHAR || '-' || turn AS custom_id, length(text)::INT AS prompt
 def responses_flatten(spark, sf_dir):
     choice = F.struct(F.lit("stop").alias("finish_reason"), F.struct(F.col("text").alias("content")).alias("message"))
     usage = F.struct(F.length("text").alias("prompt_tokens"), F.col("turn").alias("completion_tokens"), (F.length("text") + F.col("turn")).alias("total_tokens"))
-    body = F.struct(usage.alias("usage"), F.when(F.col("turn") % 5 != 0, F.array(choice)).otherwise(F.array().cast(f"array<struct<finish_reason:string,message:struct<content:string>>>")).alias("choices"))
+    body = F.struct(usage.alias("usage"), F.when(F.col("turn") % 5 != 0, F.array(choice)).otherwise(F.array().cast("array<struct<finish_reason:string,message:struct<content:string>>>")).alias("choices"))
     line = F.to_json(F.struct(F.lit("x").alias("id"), F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("custom_id"), F.struct(body.alias("body")).alias("response")))
     lines = table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 7 == 6, "not json").otherwise(line).alias("value"))
     return responses.flatten(responses.decode(lines)).drop("id")
@@ -543,7 +543,7 @@ _GENRES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in labels.GENRES.items())
 _TYPES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in labels.TEXT_TYPES.items())
 
 
-@query(f"SELECT doc_id, (doc_id % 8)::INT AS code, CASE doc_id % 8 {_GENRES} END AS genre, CASE doc_id % 8 {_COLLAPSED} ELSE 8 - 1 END::INT AS type_code, CASE (CASE doc_id % 8 {_COLLAPSED} END) {_TYPES} END AS type_name FROM labels")
+@query(f"SELECT doc_id, (doc_id % 8)::INT AS code, CASE doc_id % 8 {_GENRES} END AS genre, CASE doc_id % 8 {_COLLAPSED} ELSE 7 END::INT AS type_code, CASE (CASE doc_id % 8 {_COLLAPSED} END) {_TYPES} END AS type_name FROM labels")
 def label_map(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 8).cast("int").alias("code"))
     rows = rows.withColumns({"genre": labels.map_values(F.col("code"), labels.GENRES), "type_code": labels.map_values(F.col("code"), labels.COLLAPSED, keep=True)})
@@ -769,10 +769,10 @@ def download_status(spark, sf_dir):
 
 
 @query("""
-SELECT d AS dataset, k AS deskew, r AS max_ratio FROM (VALUES ('ncse_a'), ('bln_b')) a(d), (VALUES (true), (false)) b(k), (SELECT unnest([1, 1.5, 2, 1000]::DOUBLE[]) AS r)
+SELECT d AS dataset, k AS deskew, r AS max_ratio FROM (VALUES ('set_a'), ('set_b')) a(d), (VALUES (true), (false)) b(k), (SELECT unnest([1, 1.5, 2, 1000]::DOUBLE[]) AS r)
 """)
 def experiment_grid(spark, sf_dir):
-    grid = requests.experiment_grid(spark, ["ncse_a", "bln_b"]).select("filename")
+    grid = requests.experiment_grid(spark, ["set_a", "set_b"]).select("filename")
     return grid.select(*[c.alias(n) for n, c in requests.parse_experiment(F.col("filename")).items()])
 
 
