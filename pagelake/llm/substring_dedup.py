@@ -1,23 +1,32 @@
-"""Substring dedup: repeated passages, by MinHash banding of paragraphs.
-
-A paragraph is a line with words. Equal paragraphs meet by their hash. For near
-copies, each distinct paragraph's five-word shingles give a MinHash signature
-of ``BANDS`` bands of ``ROWS`` values, tuned for recall: a pair of similarity
-0.8 shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998. Paragraphs that
-share a band key are verified by the exact Jaccard similarity of their shingle
-sets (0.8 or more), and components over the links are the classes.
-
-A passage is a run of neighbouring paragraphs that each occur in another
-document too, with ``MIN_WORDS`` words or more together; so a passage is found
-whether it was copied as one line or as several, and short lines that many
-documents share by themselves (notices, headings) are left alone. Of each class
-the first occurrence (smallest doc_id, then position) stays.
-
-Scale: a paragraph's copies are collapsed before banding; keys are shuffled as
-two longs; only paragraphs that collide have their texts fetched. Under a key a
-member is compared to the clusters found so far, and stops at its first match
-in each, so a large group of near copies costs one comparison per member and
-emits a spanning set of links, not all pairs.
+"""Substring dedup: verbatim passages by shared windows of words, near copies by MinHash banding of lines.
+
+Verbatim passages ignore lines. A window is ``MIN_WORDS`` words in a row, across
+line breaks too; one that two documents share is part of a passage. To find
+them, every window is represented by the least hash of its runs of ``RUN``
+words, its anchor; equal windows have equal anchors, and neighbours mostly share
+one, so anchors are few. Only windows whose anchor occurs in another document are
+shuffled, by a 128-bit hash of all their words. A passage is a maximal run of
+shared windows, so it starts and ends at its true first and last word.
+
+Near copies are found by paragraph. A paragraph is a line with words. Equal
+paragraphs meet by their hash. For near copies, each distinct paragraph's
+five-word shingles give a MinHash signature of ``BANDS`` bands of ``ROWS``
+values, tuned for recall: a pair of similarity 0.8 shares a band with
+probability 1 - (1 - 0.8^4)^12 = 0.998. Paragraphs that share a band key are
+verified by the exact Jaccard similarity of their shingle sets (0.8 or more),
+and components over the links are the classes. A run of neighbouring paragraphs
+that each occur in another document too, with ``MIN_WORDS`` words or more
+together, is a passage unless verbatim ones cover it.
+
+Of each class the first occurrence (smallest doc_id, then position) stays.
+Verbatim passages with one first occurrence have one component: the run of
+first occurrences in the keeping document that they are copies of.
+
+Scale: equal texts give their windows once. A paragraph's copies are collapsed
+before banding; keys are shuffled as two longs; only paragraphs that collide
+have their texts fetched. Under a key a member is compared to the clusters found
+so far, and stops at its first match in each, so a large group of near copies
+costs one comparison per member and emits a spanning set of links, not all pairs.
 
 Paragraphs are told apart by a 64-bit hash; among 10^10 distinct paragraphs
 about three pairs would coincide, and a coincidence matters only inside a
@@ -38,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.chunks import Hasher, _mixed, ragged
+from pagelake.llm.chunks import Hasher, _mixed, _powers, ragged
 from pagelake.llm.common import BLANKS, checkpointed, stored
 from pagelake.llm.components import components
 
@@ -46,6 +55,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 MIN_WORDS = 50
+RUN = 16
 TEXTS_AT_ONCE = 512
 
 
@@ -206,13 +216,133 @@ def verified(rows: DataFrame) -> DataFrame:
     return rows.select("key", "h", "t").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _words(texts: list[str]) -> dict[str, np.ndarray] | None:
+    """Of every word of a batch: hash w, doc, start and end (code points), nth (of the lines with words); None without words."""
+    coded = [t.encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    before = np.append(True, blank[:-1])
+    starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
+    if not len(starts):
+        return None
+    sizes = np.array([len(c) + 1 for c in coded])
+    doc_starts = np.cumsum(sizes) - sizes
+    doc = np.searchsorted(doc_starts, starts, side="right") - 1
+    chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    base = chars[doc_starts[doc]]
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    rank = np.cumsum(np.append(True, line[1:] != line[:-1]))
+    return {"w": _hasher()(data, starts, ends), "doc": doc, "start": chars[starts] - base, "end": chars[ends] - base, "nth": rank - rank[np.searchsorted(doc, doc)]}
+
+
+def _rolling(w: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` word hashes, by prefix sums of values times powers of an odd base."""
+    if len(w) < size:
+        return np.zeros(0, np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(w * _powers(base, len(w))))
+    return _mixed((sums[size:] - sums[:-size]) * _powers(pow(base, -1, 1 << 64), len(w) - size + 1))
+
+
+def _anchors(words: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, anchor) of every window of ``size`` words inside one document."""
+    doc, run = words["doc"], min(RUN, size)
+    at = np.flatnonzero(doc[size - 1 :] == doc[: max(0, len(doc) - size + 1)])
+    least, span, wanted = _rolling(words["w"], run, 0x9E3779B97F4A7C15), 1, size - run + 1
+    while len(at) and span < wanted:
+        step = min(span, wanted - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    return at, least[at].view(np.int64)
+
+
+def anchors(df: DataFrame, size: int) -> DataFrame:
+    """(doc_id, doc_hash, a) of the anchors of every document, from (doc_id, doc_hash, text) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                b = batch.slice(s, TEXTS_AT_ONCE)
+                words = _words([t or "" for t in b.column(2).to_pylist()])
+                if words is None:
+                    continue
+                at, a = _anchors(words, size)
+                doc = words["doc"][at]
+                new = np.flatnonzero((a[1:] != a[:-1]) | (doc[1:] != doc[:-1])) + 1
+                new = np.append(0, new) if len(at) else new
+                where = pa.array(doc[new])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(a[new])], names=["doc_id", "doc_hash", "a"])
+
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, doc_hash long, a long")
+
+
+def windows(df: DataFrame, size: int) -> DataFrame:
+    """(doc_id, hi, doc_hash, pos, start, end, nth, last, g, g2) of the windows whose anchor is wanted, from (doc_id, hi, doc_hash, text, wanted) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, TEXTS_AT_ONCE // 8):
+                b = batch.slice(s, TEXTS_AT_ONCE // 8)
+                words = _words([t or "" for t in b.column(3).to_pylist()])
+                if words is None:
+                    continue
+                at, a = _anchors(words, size)
+                wanted = b.column(4)
+                # An anchor that only another text of the batch wants adds windows that turn out not to be shared.
+                at = at[np.isin(a, wanted.flatten().to_numpy(zero_copy_only=False))]
+                doc, end = words["doc"][at], at + size - 1
+                pos = at - np.searchsorted(words["doc"], doc)
+                g = [_rolling(words["w"], size, base)[at].view(np.int64) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)] if len(at) else [np.zeros(0, np.int64)] * 2
+                where = pa.array(doc)
+                cols = [b.column(0).take(where), b.column(1).take(where), b.column(2).take(where), *[pa.array(c.astype(np.int64)) for c in (pos, words["start"][at], words["end"][end], words["nth"][at], words["nth"][end], *g)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "hi", "doc_hash", "pos", "start", "end", "nth", "last", "g", "g2"])
+
+    id_type = df.schema["doc_id"].dataType.simpleString()
+    return df.mapInArrow(run, f"doc_id {id_type}, hi {id_type}, doc_hash long, pos long, start long, end long, nth long, last long, g long, g2 long")
+
+
+def verbatim(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``passages`` for exact copies of ``min_words`` words or more, and doc_hash; every such word is in one."""
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("doc_hash"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = stored(anchors(docs, min_words), "anchors", compression="zstd")
+    shared = found.groupBy(F.col("a").alias("b")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("b")
+    wanted = found.join(shared, F.col("a") == F.col("b")).groupBy(F.col("doc_hash").alias("of")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.collect_set("a").alias("wanted"))
+    wanted = stored(wanted, "anchors-shared", compression="zstd")
+    texts = docs.join(wanted, (F.col("doc_hash") == F.col("of")) & (F.col("doc_id") == F.col("lo"))).select("doc_id", "hi", "doc_hash", "text", "wanted")
+    rows = stored(windows(texts, min_words), "windows", compression="zstd")
+    first = F.min(F.struct("doc_id", "doc_hash", "pos"))
+    repeated = rows.groupBy("g", "g2").agg(first.alias("first"), F.min("doc_id").alias("lo"), F.max("hi").alias("top")).where("lo <> top")
+    nth = F.row_number().over(Window.partitionBy("first.doc_hash").orderBy("first.pos"))
+    repeated = repeated.select("g", "g2", "first", F.xxhash64("first.doc_hash", F.col("first.pos") - nth).alias("component_id"))
+    hits = rows.join(stored(repeated, "windows-first"), ["g", "g2"])
+    hits = hits.select("doc_id", "doc_hash", "pos", "start", "end", "nth", "last", "component_id", F.col("first.doc_id").alias("keep_doc_id"), (F.col("first") == F.struct("doc_id", "doc_hash", "pos")).alias("own"))
+    along = Window.partitionBy("doc_hash").orderBy("pos")
+    changed = F.coalesce((F.col("pos") > F.lag("pos").over(along) + 1) | (F.col("component_id") != F.lag("component_id").over(along)) | (F.col("own") != F.lag("own").over(along)), F.lit(True))
+    hits = hits.withColumn("changed", changed).withColumn("run", F.sum(F.col("changed").cast("long")).over(along))
+    runs = hits.groupBy("doc_hash", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("pos") - F.min("pos") + min_words).alias("n_words"), (F.max("last") - F.min("nth") + 1).alias("n_lines"),
+        F.first("own").alias("own"), F.first("keep_doc_id").alias("keep_doc_id"), F.first("component_id").alias("component_id"),
+    )
+    ids = docs.select("doc_id", F.col("doc_hash").alias("of")).distinct()
+    removed = F.when(F.col("own") & (F.col("doc_id") == F.col("keep_doc_id")), 0).otherwise(F.col("n_lines")).cast("long")
+    return runs.join(ids, F.col("doc_hash") == F.col("of")).select("doc_id", "doc_hash", "start", "end", "n_words", "n_lines", removed.alias("removed_lines"), "keep_doc_id", "component_id")
+
+
+def _covers(found: DataFrame) -> DataFrame:
+    """(cover_id, cover_hash, from, to): the stretches of each document that verbatim passages cover together."""
+    along = Window.partitionBy("doc_id", "doc_hash").orderBy("start")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = found.select("doc_id", "doc_hash", "start", "end", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("long").alias("new"))
+    parts = parts.withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(F.col("doc_id").alias("cover_id"), F.col("doc_hash").alias("cover_hash"), "part").agg(F.min("start").alias("from"), F.max("end").alias("to")).drop("part")
+
+
 def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of a document.
 
-    doc_id, start, end (code points), n_words, n_lines, removed_lines (those whose
-    class has an earlier occurrence), keep_doc_id (smallest doc_id among the
-    first occurrences), component_id (of its first line).
+    doc_id, start, end (code points), n_words, n_lines (that it touches),
+    removed_lines (those whose class has an earlier occurrence), keep_doc_id
+    (smallest doc_id among the first occurrences), component_id (of its first line).
     """
+    exact = stored(verbatim(df, doc_id, text, min_words), "verbatim")
     paras = stored(paragraphs(df, doc_id, text), "paragraphs", compression="zstd")
     unique = paras.where(F.size("bands") > 0).groupBy("h").agg(F.first("bands").alias("bands"), F.first(F.struct("doc_hash", "line")).alias("at"))
     unique = stored(unique, "paragraph-classes", compression="zstd")
@@ -237,7 +367,9 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.col("later").cast("long")).alias("removed_lines"), F.min("keep").alias("keep_doc_id"), F.min_by("class", "nth").alias("component_id"),
     )
-    return out.where(F.col("n_words") >= min_words).drop("doc_hash", "run")
+    inside = (F.col("doc_id") == F.col("cover_id")) & (F.col("doc_hash") == F.col("cover_hash")) & (F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to"))
+    out = out.where(F.col("n_words") >= min_words).join(_covers(exact), inside, "left_anti").drop("run")
+    return exact.unionByName(out).drop("doc_hash")
 
 
 def without(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -201,6 +202,43 @@ def test_passages(spark):
     assert substring_dedup.passages(df.where("false")).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(2)
+    para = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared = para(70)
+    w = shared.split()
+    wrapped = " ".join(w[:33]) + "\n" + " ".join(w[33:])
+    rows = [(1, para(200) + " " + shared + " " + para(150)), (2, "é " + para(90) + " " + wrapped + " " + para(300)), (3, para(60) + " " + " ".join(w[:49]) + " " + para(9))]
+    got = {r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[1].component_id == got[2].component_id
+    assert rows[0][1][got[1].start : got[1].end] == shared and rows[1][1][got[2].start : got[2].end] == wrapped
+    assert [got[k].n_words for k in (1, 2)] == [70, 70] and [got[k].removed_lines for k in (1, 2)] == [0, 2] and got[2].keep_doc_id == 1
+
+
+def test_passages_hold_every_shared_window(real):
+    texts = {r.doc_id: r.text for r in real.where("text IS NOT NULL").collect()}
+    spans = {i: [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", t)] for i, t in texts.items()}
+    where = collections.defaultdict(set)
+    for i, ws in spans.items():
+        for p in range(len(ws) - 49):
+            where[tuple(x[0] for x in ws[p : p + 50])].add(i)
+    found = collections.defaultdict(list)
+    for r in substring_dedup.passages(real).collect():
+        found[r.doc_id].append((r.start, r.end))
+    exact = collections.defaultdict(list)
+    for r in substring_dedup.verbatim(real).collect():
+        exact[r.doc_id].append((r.start, r.end))
+    n = 0
+    for i, ws in spans.items():
+        shared = {p for p in range(len(ws) - 49) if len(where[tuple(x[0] for x in ws[p : p + 50])]) > 1}
+        for p in shared:
+            assert any(a <= ws[p][1] and ws[p + 49][2] <= b for a, b in found[i])
+        words = {q for p in shared for q in range(p, p + 50)}
+        assert words == {q for q, (_, s, e) in enumerate(ws) if any(a <= s and e <= b for a, b in exact[i])}
+        n += len(shared)
+    assert n > 100
+
+
 # --- 5 SimHash
 
 
