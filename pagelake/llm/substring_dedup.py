@@ -14,9 +14,10 @@ five-word shingles give a MinHash signature of ``BANDS`` bands of ``ROWS``
 values, tuned for recall: a pair of similarity 0.8 shares a band with
 probability 1 - (1 - 0.8^4)^12 = 0.998. Paragraphs that share a band key are
 verified by the exact Jaccard similarity of their shingle sets (0.8 or more),
-and components over the links are the classes. A run of neighbouring paragraphs
-that each occur in another document too, with ``MIN_WORDS`` words or more
-together, is a passage unless verbatim ones cover it.
+and components over the links are the classes. In a run of neighbouring
+paragraphs that each occur in another document too, with ``MIN_WORDS`` words or
+more together, each paragraph is a row of its own class, but those without near
+copies that verbatim passages cover.
 
 Of each class the first occurrence (smallest doc_id, then position) stays.
 Verbatim passages with one first occurrence have one component: the run of
@@ -338,9 +339,10 @@ def _covers(found: DataFrame) -> DataFrame:
 def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of a document.
 
-    doc_id, start, end (code points), n_words, n_lines (that it touches),
-    removed_lines (those whose class has an earlier occurrence), keep_doc_id
-    (smallest doc_id among the first occurrences), component_id (of its first line).
+    Each row has one component_id and one verdict: doc_id, start, end (code
+    points), n_words, n_lines (that it touches), removed_lines (all of them if it
+    occurs earlier, else 0), keep_doc_id (of the first occurrence), component_id.
+    A whole line has fewer than ``min_words`` words if only its run has as many.
     """
     exact = stored(verbatim(df, doc_id, text, min_words), "verbatim")
     paras = stored(paragraphs(df, doc_id, text), "paragraphs", compression="zstd")
@@ -354,31 +356,34 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     texts = stored(texts.groupBy("h").agg(F.max("t").alias("t")), "paragraph-texts")
     found = components(verified(buckets.join(texts.withColumnRenamed("h", "g"), F.col("h") == F.col("g"))))
     found = checkpointed(found)
-    lines = paras.drop("bands").join(found, F.col("h") == F.col("node"), "left").withColumn("class", F.coalesce("component", "h")).drop("node", "component")
+    lines = paras.drop("bands").join(found, F.col("h") == F.col("node"), "left").select("*", F.coalesce("component", "h").alias("class"), F.col("component").isNotNull().alias("near")).drop("node", "component")
     lines = stored(lines, "paragraph-lines")
     first = F.min(F.struct("doc_id", "doc_hash", "nth"))
     repeated = lines.groupBy("class").agg(first.alias("first"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
     repeated = checkpointed(repeated.select(F.col("class").alias("c"), "first"))
     hits = lines.join(repeated, F.col("class") == F.col("c"))
-    hits = hits.groupBy("doc_id", "doc_hash", "nth").agg(*[F.first(c).alias(c) for c in ("start", "end", "words", "class")], F.first("first.doc_id").alias("keep"), F.first((F.col("first") != F.struct("doc_id", "doc_hash", "nth"))).alias("later"))
+    hits = hits.groupBy("doc_id", "doc_hash", "nth").agg(*[F.first(c).alias(c) for c in ("start", "end", "words", "class", "near")], F.first("first.doc_id").alias("keep"), F.first((F.col("first") != F.struct("doc_id", "doc_hash", "nth"))).alias("later"))
     along = Window.partitionBy("doc_id", "doc_hash").orderBy("nth")
     runs = hits.withColumn("run", F.col("nth") - F.row_number().over(along))
-    out = runs.groupBy("doc_id", "doc_hash", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.col("later").cast("long")).alias("removed_lines"), F.min("keep").alias("keep_doc_id"), F.min_by("class", "nth").alias("component_id"),
+    runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "doc_hash", "run"))).where(F.col("total") >= min_words)
+    out = runs.select(
+        "doc_id", "doc_hash", "start", "end", F.col("words").alias("n_words"), F.lit(1).cast("long").alias("n_lines"),
+        F.col("later").cast("long").alias("removed_lines"), F.col("keep").alias("keep_doc_id"), F.col("class").alias("component_id"), "near",
     )
-    inside = (F.col("doc_id") == F.col("cover_id")) & (F.col("doc_hash") == F.col("cover_hash")) & (F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to"))
-    out = out.where(F.col("n_words") >= min_words).join(_covers(exact), inside, "left_anti").drop("run")
-    return exact.unionByName(out).drop("doc_hash")
+    inside = (F.col("doc_id") == F.col("cover_id")) & (F.col("doc_hash") == F.col("cover_hash")) & ~F.col("near") & (F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to"))
+    return exact.unionByName(out.join(_covers(exact), inside, "left_anti").drop("near")).drop("doc_hash")
 
 
 def without(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the passages cut out whose every line occurs earlier; doc_id must be unique."""
+    """The documents without the passages that occur earlier; passages may overlap; doc_id must be unique."""
     cut = found.where("removed_lines = n_lines").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     joined = df.join(cut, df[doc_id] == F.col("_id"), "left")
     blank = F.lit(f"[{BLANKS}]+$")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, c: F.struct(F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int"))).alias("out"), (c["end"] + 1).alias("at"))
+    before = lambda acc, c: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int")))
+    # a cut that leaves nothing of its line takes the line's end too
+    whole = lambda acc, c: F.rlike(before(acc, c), F.lit(r"(^|\n)\z")) & (F.substring(F.col(text), (c["end"] + 1).cast("int"), F.lit(1)) == "\n")
+    step = lambda acc, c: F.struct(before(acc, c).alias("out"), F.greatest(acc["at"], c["end"] + whole(acc, c).cast("long")).alias("at"))
     end = lambda acc: F.regexp_replace(F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))), blank, F.lit(""))
     new = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.aggregate("_cut", begin, step, end))
     return joined.withColumn(text, new).drop("_id", "_cut")

@@ -215,6 +215,34 @@ def test_passages_inside_lines(spark):
     assert [got[k].n_words for k in (1, 2)] == [70, 70] and [got[k].removed_lines for k in (1, 2)] == [0, 2] and got[2].keep_doc_id == 1
 
 
+def test_passages_have_one_class_and_verdict(spark):
+    rng = random.Random(3)
+    para = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    edited = lambda t: " ".join("x" if k == 30 else w for k, w in enumerate(t.split()))
+    p, q = para(60), para(60)
+    for change, n in ((str, 60), (edited, 60)):
+        rows = [(1, q), (2, change(p) + "\n" + change(q)), (3, p), (4, para(70) + " tail")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        found = substring_dedup.passages(df)
+        got = {(r.doc_id, r.start): r for r in found.collect()}
+        at = len(change(p)) + 1
+        assert set(got) == {(1, 0), (2, 0), (2, at), (3, 0)} and {r.n_words for r in got.values()} == {n}
+        assert got[1, 0].component_id == got[2, at].component_id != got[2, 0].component_id == got[3, 0].component_id
+        assert {k: (r.removed_lines, r.keep_doc_id) for k, r in got.items()} == {(1, 0): (0, 1), (2, 0): (0, 2), (2, at): (1, 1), (3, 0): (1, 2)}
+        left = {r.doc_id: r.text for r in substring_dedup.without(df, found).collect()}
+        assert left == {1: q, 2: change(p), 3: "", 4: rows[3][1]}
+
+
+def test_overlapping_passages_are_cut(spark):
+    rng = random.Random(4)
+    para = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    p, q = para(60), para(60)
+    rows = [(1, q), (2, f"a {p} {q} b"), (3, f"c\n{p} {q}\nd"), (4, p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in substring_dedup.without(df, substring_dedup.passages(df)).collect()}
+    assert left == {1: q, 2: f"a {p}  b", 3: "c\nd", 4: ""}
+
+
 def test_passages_hold_every_shared_window(real):
     texts = {r.doc_id: r.text for r in real.where("text IS NOT NULL").collect()}
     spans = {i: [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", t)] for i, t in texts.items()}
