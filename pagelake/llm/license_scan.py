@@ -1,26 +1,29 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines with a trigger word, and runs of such lines that lie
-close together. Each block is compressed by zstandard alone and once per
-template with the template as a raw-content dictionary; the relative saving
-ranks the templates, since a block that repeats a template's wording costs
-almost nothing beside it. The best ``TOP`` are then confirmed by their exact
-differences in wording: which template words are missing and which words stand
-between them that the template does not have.
+Candidate blocks are windows around trigger words that reach as many words past
+and before them as the longest template has, across line breaks. Each block is
+compressed by zstandard alone and once per template with the template as a
+raw-content dictionary; the saving ranks the templates, since a block that
+repeats a template's wording costs almost nothing beside it. Every template that
+saves ``MIN_SAVING`` of its own bytes, and every very short one, is then confirmed by its exact differences
+in wording: which template words are missing and which words stand between them
+that the template does not have. Matches inside another one's span are left out.
 
 Spark's own filter drops texts without a trigger before any row reaches Python.
 
-Edge cases: null and empty texts have no findings. Very long lines are cut to
-windows of words around their triggers, so no trigger is lost. Repeated rows
+Edge cases: null and empty texts have no findings. A window ends ``WINDOW_CHARS``
+characters from its trigger, for texts without word breaks. Repeated rows
 repeat their findings; an empty table gives no rows. A document without a
 notice has no row. Ties between templates go to the earlier one in the list.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,12 +62,17 @@ TEMPLATES = (
 TRIGGER = r"(?i)licen[cs]e|all rights reserved|permission is hereby granted|redistribution and use|spdx-|public domain|creative commons|waived all copyright|subject to the terms of"
 #: Words that turn a notice that follows them into its opposite.
 DENIALS = frozenset(("not", "never", "formerly", "no", "un", "nicht", "pas"))
-TOP = 4
-MIN_SAVING = 0.1
+#: Words that make a longer license name of a shorter one.
+QUALIFIERS = frozenset(("lesser", "library", "affero"))
+#: Least share of a template's bytes that it must save.
+MIN_SAVING = 0.2
+#: Templates of up to so many words are always compared: the dictionary's overhead can exceed what they save.
+SHORT_WORDS = 4
 #: Share of a template's words that may be missing; short templates must be whole.
 MAX_MISSING = 0.08
-GAP_LINES = 2
-WINDOW_WORDS = 300
+#: Triggers so many words apart share a window.
+NEAR_WORDS = 8
+WINDOW_CHARS = 4_000
 
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
@@ -73,43 +81,25 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks of a text, in code points."""
-    trigger, out, lines, at = re.compile(TRIGGER), [], [], 0
-    for line in text.split("\n"):
-        hits = [m.start() for m in trigger.finditer(line)]
-        if hits:
-            lines.append((len(lines), at, at + len(line)))
-            out += [(at + a, at + b) for a, b in _windows(line, hits)]
-        at += len(line) + 1
-    runs: list[list[int]] = []
-    for _, a, b in lines:
-        if runs and text.count("\n", runs[-1][1], a) <= GAP_LINES + 1:
-            runs[-1][1] = b
-            runs[-1][2] += 1
-        else:
-            runs.append([a, b, 1])
-    out += [(a, b) for a, b, n in runs if n > 1 and b - a <= 20 * WINDOW_WORDS]
-    return out
+#: Words of the longest template, and a few more.
+REACH = max(len(_words(t)) for _, t in TEMPLATES) + 4
 
 
-def _windows(line: str, hits: list[int]) -> list[tuple[int, int]]:
-    """The whole line, or windows around the hits of a very long one."""
-    words = [m.span() for m in re.finditer(r"\S+", line)]
-    if len(words) <= 2 * WINDOW_WORDS:
-        return [(0, len(line))]
-    out: list[tuple[int, int]] = []
+def blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the windows around the triggers of a text, in code points."""
+    hits = [m.span() for m in re.finditer(TRIGGER, text)]
+    if not hits:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
     starts = [w[0] for w in words]
-    import bisect
-
-    for h in hits:
-        k = bisect.bisect_right(starts, h) - 1
-        a, b = words[max(0, k - WINDOW_WORDS // 2)][0], words[min(len(words) - 1, k + WINDOW_WORDS // 2)][1]
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+    groups: list[list[int]] = []
+    for h, e in hits:
+        k = max(0, bisect.bisect_right(starts, h) - 1)
+        if groups and k - groups[-1][0] <= NEAR_WORDS:
+            groups[-1][1], groups[-1][3] = k, e
         else:
-            out.append((a, b))
-    return out
+            groups.append([k, k, h, e])
+    return [(max(words[max(0, k - REACH)][0], h - WINDOW_CHARS), min(words[min(len(words) - 1, m + REACH)][1], e + WINDOW_CHARS)) for k, m, h, e in groups]
 
 
 @functools.cache
@@ -120,48 +110,79 @@ def _compressors() -> tuple:
     return z.ZstdCompressor(level=19), [z.ZstdCompressor(level=19, dict_data=d) for d in raw]
 
 
-def savings(block: str) -> list[tuple[float, int]]:
-    """(relative saving, template number), best first."""
+def savings(block: str) -> list[tuple[float, int, float]]:
+    """(relative saving, minus template number, share of the template's bytes saved), best first."""
     plain, primed = _compressors()
     data = block.encode("utf-8", "replace")
     size = len(plain.compress(data))
-    return sorted(((1 - len(c.compress(data)) / size, -k) for k, c in enumerate(primed)), reverse=True)
-
-
-def wording(template: str, block: str) -> tuple[int, int, int, int] | None:
-    """(missing template words, words inserted between, first word, last word + 1 in the block), or None if too different."""
-    want, have = _words(template), _words(block)
-    matcher = difflib.SequenceMatcher(None, want, have, autojunk=False)
-    same = [m for m in matcher.get_matching_blocks() if m.size]
-    if not same:
-        return None
-    first, last = same[0].b, same[-1].b + same[-1].size
-    missing = len(want) - sum(m.size for m in same)
-    inserted = last - first - sum(m.size for m in same)
+    saved = [size - len(c.compress(data)) for c in primed]
+    return sorted(((n / size, -k, n / len(TEMPLATES[k][1].encode())) for k, n in enumerate(saved)), reverse=True)
+
+
+def wording(template: str, have: list[str]) -> list[tuple[int, int, int, int]]:
+    """(missing template words, words inserted between, first word, last word + 1 among ``have``) of every match."""
+    want, out, todo = _words(template), [], [(0, len(have))]
     allowed = int(MAX_MISSING * len(want))
-    if missing > allowed or inserted > allowed:
-        return None
-    # a denial before the match, or a version or clause that goes on after it, makes it another statement
-    if first and have[first - 1] in DENIALS:
-        return None
-    return missing, inserted, first, last
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < len(want) - allowed:
+            continue
+        matcher = difflib.SequenceMatcher(None, want, have[lo:hi], autojunk=False)
+        same = [m for m in matcher.get_matching_blocks() if m.size]
+        if not same:
+            continue
+        best = None
+        for i in range(len(same)):
+            for j in range(i, len(same)):
+                first, last, n = lo + same[i].b, lo + same[j].b + same[j].size, sum(m.size for m in same[i : j + 1])
+                got = (len(want) - n, last - first - n, first, last)
+                if max(got[:2]) <= allowed and (best is None or got < best):
+                    between = Counter(have[first:last]) - Counter(want)
+                    lost = Counter(want) - Counter(have[first:last])
+                    # another version or another license of the family is another statement
+                    if not any(w in QUALIFIERS for w in between) and not any(c.isdigit() for w in [*between, *lost] for c in w):
+                        best = got
+        if best:
+            first, last = best[2:]
+            # a denial before the match makes it another statement
+            if not (first and have[first - 1] in DENIALS):
+                out.append(best)
+        else:
+            longest = max(same, key=lambda m: m.size)
+            first, last = lo + longest.b, lo + longest.b + longest.size
+        todo += [(lo, first), (last, hi)]
+    return out
 
 
 def scan(text: str | None) -> list[dict]:
-    """Findings of one text: license, start and end (code points of the block), saving, rank, missing, inserted."""
+    """Findings of one text: license, start and end (code points of the notice), saving, rank, missing, inserted."""
     found: dict[tuple, dict] = {}
-    for a, b in blocks(text or ""):
+    text = text or ""
+    for a, b in blocks(text):
         block = text[a:b]
-        for rank, (saving, k) in enumerate(savings(block)[:TOP], 1):
-            if saving < MIN_SAVING:
-                break
-            diff = wording(TEMPLATES[-k][1], block)
-            if diff:
-                name = TEMPLATES[-k][0]
-                if not any(f["license"] == name and a <= f["start"] and f["end"] <= b for f in found.values()):
-                    found[a, b, name] = {"license": name, "start": a, "end": b, "saving": round(saving, 6), "rank": rank, "missing": diff[0], "inserted": diff[1]}
+        spans = [(a + m.start(), a + m.end()) for m in _WORD.finditer(block)]
+        have = _words(block)
+        for rank, (saving, k, share) in enumerate(savings(block), 1):
+            name, template = TEMPLATES[-k]
+            if share < MIN_SAVING and len(_words(template)) > SHORT_WORDS:
+                continue
+            got = wording(template, have)
+            for missing, inserted, first, last in got:
+                start, end = spans[first][0], spans[last - 1][1]
+                if template.startswith("SPDX-") and re.match(r"-\w", text[end : end + 2]):
+                    continue  # a longer identifier
+                new = {"license": name, "start": start, "end": end, "saving": round(saving, 6), "rank": rank, "missing": missing, "inserted": inserted}
+                old = found.get((start, end))
+                if old is None or (missing + inserted, rank) < (old["missing"] + old["inserted"], old["rank"]):
+                    found[start, end] = new
+            if got:
                 break
-    return sorted(found.values(), key=lambda f: (f["start"], f["end"], f["license"]))
+    out, reach = [], -1
+    for f in sorted(found.values(), key=lambda f: (f["start"], -f["end"])):
+        if f["end"] > reach:
+            out.append(f)
+            reach = f["end"]
+    return out
 
 
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

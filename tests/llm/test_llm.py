@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -456,6 +457,17 @@ def test_license(text, want):
     assert [f["license"] for f in license_scan.scan(text)] == want
 
 
+@pytest.mark.parametrize("n", [0, 10, 40, 60, 300])
+def test_license_in_prose(real, n):
+    prose = " ".join(r.text for r in real.where("lang = 'en' AND text IS NOT NULL").collect() if not re.search(license_scan.TRIGGER, r.text)).split()
+    for k, (name, template) in enumerate(license_scan.TEMPLATES):
+        at = 700 * k % (len(prose) - 2 * n - 1)
+        before = " ".join(prose[at : at + n])
+        text = f"{before} {template}. " + " ".join(prose[at + n : at + 2 * n])
+        got = license_scan.scan(text)
+        assert [f["license"] for f in got] == [name] and template.startswith(text[got[0]["start"] : got[0]["end"]]), template
+
+
 def test_license_table(docs, empty, real):
     assert license_scan.find(docs).count() == 0 and license_scan.find(empty).count() == 0
     got = license_scan.find(real).where("license = 'MIT'").select("doc_id").distinct().count()
