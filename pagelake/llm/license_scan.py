@@ -58,8 +58,16 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("All-Rights-Reserved", "All rights reserved"),
+    *((name, f"SPDX-License-Identifier: {i}") for name, ids in (
+        ("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("GPL-3.0", "GPL-3.0 GPL-3.0-only GPL-3.0-or-later"), ("GPL-2.0", "GPL-2.0 GPL-2.0-only GPL-2.0-or-later"),
+        ("LGPL-3.0", "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"),
+        ("MPL-2.0", "MPL-2.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("CC0-1.0", "CC0-1.0"), ("Unlicense", "Unlicense"),
+    ) for i in ids.split()),
 )
-TRIGGER = r"(?i)licen[cs]e|all rights reserved|permission is hereby granted|redistribution and use|spdx-|public domain|creative commons|waived all copyright|subject to the terms of"
+#: Words of a trigger may stand in different lines.
+TRIGGER = r"(?i)licen[cs]e|spdx-|" + "|".join(
+    t.replace(" ", r"\W{1,20}") for t in ("all rights reserved", "permission is hereby granted", "redistribution and use", "public domain", "creative commons", "waived all copyright", "subject to the terms of")
+)
 #: Words that turn a notice that follows them into its opposite.
 DENIALS = frozenset(("not", "never", "formerly", "no", "un", "nicht", "pas"))
 #: Words that make a longer license name of a shorter one.

@@ -468,6 +468,15 @@ def test_license_in_prose(real, n):
         assert [f["license"] for f in got] == [name] and template.startswith(text[got[0]["start"] : got[0]["end"]]), template
 
 
+@pytest.mark.parametrize("width", [30, 50, 79])
+def test_license_wrapped(width):
+    for name, template in license_scan.TEMPLATES:
+        for mark in ("", "# "):
+            text = "Some words first.\n\n" + "\n".join(mark + x for x in textwrap.wrap(template, width, break_long_words=False, break_on_hyphens=False)) + "\n\nand some after."
+            assert [f["license"] for f in license_scan.scan(text)] == [name], template
+    assert [f["license"] for f in license_scan.scan("license " * 3000 + "\nReleased under\nthe MIT License.\n" + "license " * 3000)] == ["MIT"]
+
+
 def test_license_table(docs, empty, real):
     assert license_scan.find(docs).count() == 0 and license_scan.find(empty).count() == 0
     got = license_scan.find(real).where("license = 'MIT'").select("doc_id").distinct().count()
