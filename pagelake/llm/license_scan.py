@@ -174,8 +174,7 @@ def scan(text: str | None) -> list[dict]:
             name, template = TEMPLATES[-k]
             if share < MIN_SAVING and len(_words(template)) > SHORT_WORDS:
                 continue
-            got = wording(template, have)
-            for missing, inserted, first, last in got:
+            for missing, inserted, first, last in wording(template, have):
                 start, end = spans[first][0], spans[last - 1][1]
                 if template.startswith("SPDX-") and re.match(r"-\w", text[end : end + 2]):
                     continue  # a longer identifier
@@ -183,8 +182,6 @@ def scan(text: str | None) -> list[dict]:
                 old = found.get((start, end))
                 if old is None or (missing + inserted, rank) < (old["missing"] + old["inserted"], old["rank"]):
                     found[start, end] = new
-            if got:
-                break
     out, reach = [], -1
     for f in sorted(found.values(), key=lambda f: (f["start"], -f["end"])):
         if f["end"] > reach:

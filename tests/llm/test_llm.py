@@ -477,6 +477,16 @@ def test_license_wrapped(width):
     assert [f["license"] for f in license_scan.scan("license " * 3000 + "\nReleased under\nthe MIT License.\n" + "license " * 3000)] == ["MIT"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]), ("SPDX-License-Identifier: MIT", ["MIT"]), ("SPDX-License-Identifier: MIT-0", []),
+    ("SPDX-License-Identifier: Apache-2.0 OR x\nSPDX-License-Identifier: GPL-3.0-or-later", ["Apache-2.0", "GPL-3.0"]), ("All rights reserved. All rights reserved.", ["All-Rights-Reserved"] * 2),
+    ("Not released under the MIT License. Released under the MIT License.", ["MIT"]),
+    ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", []),
+])
+def test_license_several(text, want):
+    assert [f["license"] for f in license_scan.scan(text)] == want
+
+
 def test_license_table(docs, empty, real):
     assert license_scan.find(docs).count() == 0 and license_scan.find(empty).count() == 0
     got = license_scan.find(real).where("license = 'MIT'").select("doc_id").distinct().count()
