@@ -367,9 +367,13 @@ def responses_flatten(spark, sf_dir):
 
 @query()
 def segments_knit(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) > 20")
+    return _segments_knit(table(spark, sf_dir, "documents"))
+
+
+def _segments_knit(docs: DataFrame) -> DataFrame:
+    """Whole texts cut into segments of 300 characters that overlap by 50, and knitted again."""
     part = F.struct(F.col("k").alias("segment"), F.substring("text", F.lit(1) + F.col("k") * 250, F.lit(300)).alias("content"))
-    segments = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.floor(F.length("text") / 250).cast("int")))).alias("k"))
+    segments = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.coalesce(F.length("text"), F.lit(0)) - 300) / 250).cast("int")))).alias("k"))
     segments = segments.select(F.concat(F.lit("CLD-1850-04-20_page_1_text_B0C1R"), F.col("doc_id").cast("string"), F.lit("_segment_"), F.col("k").cast("string")).alias("custom_id"), part["content"].alias("content"),
                                F.lit(1).alias("prompt_tokens"), F.lit(2).alias("completion_tokens"), F.lit(3).alias("total_tokens"))
     return responses.combine_segments(responses.decompose(segments))

@@ -1,7 +1,11 @@
 """Every query of the engine against its SQL, on the smallest tables."""
 
+import difflib
+import random
+
 import pytest
 
+from pagelake.functions.knit import longest_shared
 from pagelake.plans import queries
 from tests.helpers import DATA, connect, same
 
@@ -21,6 +25,31 @@ def test_rows(spark, name):
     assert queries.QUERIES[name](spark, DATA).limit(5).collect()
 
 
+def test_segments_knit_whole_texts(spark):
+    rng = random.Random(1)
+    texts = {k: "".join(rng.choice("abcdefg hij") for _ in range(n)) for k, n in enumerate((0, 1, 20, 299, 300, 301, 550, 551, 1051, 2600))} | {10: "ab" * 900, 11: None}
+    want = {}
+    for k, t in texts.items():
+        out = None
+        for s in range(0, max(1, len(t or "") - 50), 250):
+            part = (t or "")[s : s + 300]
+            m = difflib.SequenceMatcher(None, out or "", part, autojunk=False).find_longest_match()
+            out = part if out is None else out + part if m.size == 0 else out[: m.a] + part[m.b :]
+        want[k] = out
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.reading_order: r.content for r in queries._segments_knit(docs).collect()}
+    assert {k: v or "" for k, v in got.items()} == want and got[9] == texts[9]
+
+
+def test_longest_shared_is_difflibs():
+    rng = random.Random(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(25))) for _ in range(2))
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+        got = longest_shared(a, b)
+        assert got[2] == m.size and (not m.size or got == (m.a, m.b, m.size))
+
+
 def test_entry(spark):
     import __spark_entry__
 
