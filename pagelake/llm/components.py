@@ -6,7 +6,7 @@ Every round links each node's larger neighbours to the smallest node it sees
 logarithm of the longest path. Minima are aggregated before the join, so a node
 with very many edges reaches the aggregating task as one row per map task, and
 the join has a plain exchange on both sides, which adaptive execution can split.
-Each round is checkpointed in the shared folder.
+The edges and each round are checkpointed in the shared folder.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Edges with a null end are ignored; self loops and repeated edges change nothing
     but that a node with only a self loop is its own component.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    pairs = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"))
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
     now = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = checkpointed(now)

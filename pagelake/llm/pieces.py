@@ -17,11 +17,16 @@ Two kinds of model file exist, and both are read from the file itself:
   exactly one path is left at each position, the one BPE takes. Whether a pair
   stands is worked out once per distinct pair, by merging its few characters.
 
+Long chunks without blanks are cut wherever two code points stand side by side
+in no piece, since no piece can reach across; chunks that stay long and have too
+few companions of their length for numpy run the same recursion one by one.
+
 Code points that no piece covers stand alone; with byte fallback they become
 their UTF-8 bytes' ids. Decoding gathers the pieces' bytes with numpy.
 
 Edge cases: null texts count as empty; empty texts have no ids and decode to
-"". Texts that already hold the blank marker U+2581 decode with a blank there;
+"". Long texts are encoded alone, in linear time (a few seconds for a megabyte
+without a single cut). Texts that already hold the blank marker U+2581 decode with a blank there;
 ``round_trip`` compares with that form. Repeated rows repeat their result, and
 an empty table gives an empty result. Other columns are not read.
 """
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.chunks import ChunkCache, _mixed, _powers, ragged
+from pagelake.llm.chunks import ChunkCache, _mixed, _powers, by_bytes, ragged
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -45,6 +50,8 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 _BASE = 0xD6E8FEB86659FD93
 PAIR_SLOTS = 1 << 22
+#: Chunks of more code points are cut where no piece can reach across, and those that stay as long run alone if under ``FEW`` share their length.
+LONG, FEW = 32, 16
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -108,6 +115,8 @@ class PieceModel:
         self.by_name = {self.names[k]: k for k in normal}
         self.rank = {self.names[k]: float(self.scores[k]) for k in normal}
         self.longest = max(map(len, self.by_name))
+        self.sides = np.unique(np.array([ord(x) << 32 | ord(y) for name in self.by_name for x, y in zip(name, name[1:], strict=False)] or [0], np.uint64))
+        self.stands: dict[int, bool] = {}
         self.lengths = np.array([len(x) for x in self.names])
         keys, of = np.zeros(len(normal), np.uint64), self.lengths[normal]
         for n in np.unique(of).tolist():
@@ -217,25 +226,72 @@ class PieceModel:
         out = np.take_along_axis(out, np.maximum(backwards, 0), axis=1)
         return out[backwards >= 0], count
 
+    def viterbi_alone(self, text: str) -> list[int]:
+        """``viterbi`` for one text, without numpy."""
+        n, bpe, names = len(text), self.kind == BPE, len(self.names)
+        value, last, step = [0.0] + [-np.inf] * n, [-2] * (n + 1), [0] * (n + 1)
+        for j in range(1, n + 1):
+            for size in range(1, min(j, self.longest) + 1):
+                i = j - size
+                if value[i] == -np.inf:
+                    continue
+                piece = self.by_name.get(text[i:j], -1)
+                if piece >= 0 and bpe:
+                    key = (last[i] + 2) * names + piece
+                    if key not in self.stands:
+                        if len(self.stands) >= PAIR_SLOTS:
+                            self.stands.clear()
+                        self.stands[key] = self._pair_stands(key)
+                    if not self.stands[key]:
+                        continue
+                elif piece < 0 and size > 1:
+                    continue
+                total = value[i] + (0.0 if bpe else self.scores[piece] if piece >= 0 else self.floor)
+                if total > value[j]:
+                    value[j], last[j], step[j] = total, piece, size
+        out, j = [], n
+        while j:
+            out.append(last[j] if last[j] >= 0 else -1 - ord(text[j - 1]))
+            j -= step[j]
+        return out[::-1]
+
+    def parts(self, text: str) -> list[str]:
+        """A text cut wherever no piece holds the two code points side by side."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        keys = codes[:-1] << np.uint64(32) | codes[1:]
+        cuts = np.flatnonzero(self.sides[np.minimum(np.searchsorted(self.sides, keys), len(self.sides) - 1)] != keys) + 1
+        ends = [0, *cuts.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [c.decode("utf-8", "surrogatepass").replace(" ", MARK) for c in chunks]
+        whole = [c.decode("utf-8", "surrogatepass").replace(" ", MARK) for c in chunks]
+        texts, of = [], []
+        for k, t in enumerate(whole):
+            parts = self.parts(t) if len(t) > LONG else [t]
+            texts += parts
+            of += [k] * len(parts)
         length = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(length, kind="stable")
         flats, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at = 0
         for n, rows in zip(*np.unique(length, return_counts=True), strict=True):
+            same = order[at : at + rows].tolist()
             block = max(1, 2_000_000 // (int(n) + 1))
-            for s in range(at, at + rows, block):
-                flat, count = self.viterbi(_codes([texts[k] for k in order[s : min(s + block, at + rows)].tolist()], int(n)))
-                if len(flat) and flat.min() < 0:
-                    flat, count = self._finished(flat, count)
-                flats.append(flat)
-                counts.append(count)
+            if n > LONG and rows < FEW:
+                alone = [self.viterbi_alone(texts[k]) for k in same]
+                flats += [np.array(x, np.int64) for x in alone]
+                counts.append(np.array([len(x) for x in alone], np.int64))
+            else:
+                for s in range(0, rows, block):
+                    flat, count = self.viterbi(_codes([texts[k] for k in same[s : s + block]], int(n)))
+                    flats.append(flat)
+                    counts.append(count)
             at += rows
         flat, count = np.concatenate(flats), np.concatenate(counts)
         back = np.argsort(order, kind="stable")
         start = np.cumsum(count) - count
-        return flat[ragged(start[back], count[back])], count[back]
+        flat, count = flat[ragged(start[back], count[back])], np.bincount(of, count[back], len(whole)).astype(np.int64)
+        return self._finished(flat, count) if len(flat) and flat.min() < 0 else (flat, count)
 
     def _finished(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points without piece as byte ids, or as the unknown id; runs of unknowns are one."""
@@ -304,8 +360,8 @@ def _ready(model: bytes, kind: int | None) -> tuple[PieceModel, ChunkCache]:
     return pieces, ChunkCache(pieces.encode_chunks, limit=1_500_000)
 
 
-#: Texts handled at once; a longer single text is still handled whole.
-TEXTS_AT_ONCE = 512
+#: Bytes of text handled at once; a longer text is handled alone.
+BYTES_AT_ONCE = 1 << 22
 
 
 def encode(df: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", kind: int | None = None) -> DataFrame:
@@ -317,8 +373,8 @@ def encode(df: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, cache = _ready(model, kind)
         for batch in batches:
-            for s in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                b = batch.slice(s, TEXTS_AT_ONCE)
+            for s, rows in by_bytes(batch.column(1), BYTES_AT_ONCE):
+                b = batch.slice(s, rows)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 ids, n = pieces.encode(texts, cache)
                 back = pieces.decode(ids, n)

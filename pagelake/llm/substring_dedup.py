@@ -40,7 +40,6 @@ once; null doc_ids are left out. An empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.chunks import Hasher, _mixed, _powers, ragged
+from pagelake.llm.chunks import _mixed, _powers, ragged, span_hashes
 from pagelake.llm.common import BLANKS, checkpointed, stored
 from pagelake.llm.components import components
 
@@ -60,11 +59,6 @@ RUN = 16
 TEXTS_AT_ONCE = 512
 
 
-@functools.cache
-def _hasher() -> Hasher:
-    return Hasher()
-
-
 def _signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Band keys (paragraphs x BANDS) from the shingle hashes of paragraphs, which start at ``starts``."""
     keys = np.zeros((len(starts), BANDS), np.uint64)
@@ -91,7 +85,7 @@ def _paragraphs(texts: list[str]) -> dict[str, np.ndarray]:
     doc_starts = np.cumsum(sizes) - sizes
     line_of = np.searchsorted(line_ends, starts)
     lines, first, count = np.unique(line_of, return_index=True, return_counts=True)
-    w = _hasher()(data, starts, ends)
+    w = span_hashes(data, starts, ends)
     place = np.arange(len(w)) - np.repeat(first, count)
     h = _mixed(np.add.reduceat(_mixed(w + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + count.astype(np.uint64))
     doc = np.searchsorted(doc_starts, line_starts[lines], side="right") - 1
@@ -233,7 +227,7 @@ def _words(texts: list[str]) -> dict[str, np.ndarray] | None:
     base = chars[doc_starts[doc]]
     line = np.searchsorted(np.flatnonzero(data == 10), starts)
     rank = np.cumsum(np.append(True, line[1:] != line[:-1]))
-    return {"w": _hasher()(data, starts, ends), "doc": doc, "start": chars[starts] - base, "end": chars[ends] - base, "nth": rank - rank[np.searchsorted(doc, doc)]}
+    return {"w": span_hashes(data, starts, ends), "doc": doc, "start": chars[starts] - base, "end": chars[ends] - base, "nth": rank - rank[np.searchsorted(doc, doc)]}
 
 
 def _rolling(w: np.ndarray, size: int, base: int) -> np.ndarray:

@@ -154,6 +154,41 @@ def test_pieces_match_the_library(model, real):
     assert mine.decode(ids, n) == texts
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_alike_chunks_keep_their_own_ids(model, definition):
+    """Two texts that collide under any polynomial hash modulo a power of two."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    sp, lib = sentencepiece.SentencePieceProcessor(model_proto=model), Tokenizer.from_str(definition)
+    mine, other, texts = pieces.PieceModel(model), token_output.TextEncoder(definition), thue_morse(2048)
+    cache = ChunkCache(mine.encode_chunks)
+    for t in texts:
+        assert mine.encode([t], cache)[0].tolist() == sp.encode(t) and other([t])[0].tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_unbroken_texts(model):
+    import base64
+    import time
+
+    import sentencepiece
+
+    sp, mine = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.PieceModel(model)
+    rng = random.Random(6)
+    texts = [base64.b64encode(rng.randbytes(750_000)).decode(), "y" * 20_000, "ab" * 10_000, "".join(rng.choice("abcdefghij") for _ in range(20_000)), "日本語é🙂" * 3000]
+    began = time.time()
+    ids, n = mine.encode(texts, ChunkCache(mine.encode_chunks))
+    assert time.time() - began < 60
+    ends = np.append(0, np.cumsum(n))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == sp.encode(texts)
+
+
 def test_unigram_viterbi_is_best(model):
     """With scores as weights, no other segmentation of a short word sums higher."""
     mine = pieces.PieceModel(model, pieces.UNIGRAM)
@@ -168,6 +203,7 @@ def test_unigram_viterbi_is_best(model):
 
     for w in ["▁hello", "▁unbelievable", "▁the", "aaaaaa"]:
         flat, _ = mine.viterbi(pieces._codes([w], len(w)))
+        assert mine.viterbi_alone(w) == flat.tolist()
         assert "".join(mine.names[k] for k in flat) == w and mine.scores[flat].sum() == pytest.approx(best(w))
 
 
@@ -365,7 +401,6 @@ def test_token_files(spark, docs, empty, definition):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(definition)
-    t.encode_special_tokens = True
     table, lengths = token_output.write(docs, definition)
     got = token_output.read(table, lengths).orderBy("start").collect()
     want = sorted(((r[0] if r[0] is not None else -1, t.encode(r[1] or "", add_special_tokens=False).ids + [2]) for r in ROWS), key=lambda x: x[0])
@@ -376,11 +411,34 @@ def test_token_files(spark, docs, empty, definition):
     assert token_output.read(table, lengths).count() == 0
 
 
+def test_token_query(spark, definition, real):
+    from tokenizers import Tokenizer
+
+    t, start = Tokenizer.from_str(definition), 0
+    got = {r.doc_id: r for r in registry.op6_token_binary_output(spark, DATA).collect()}
+    for r in sorted(real.collect(), key=lambda r: r.doc_id):
+        ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
+        g = got.pop(r.doc_id)
+        assert (g.start, g.n_tokens, g.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert not got
+
+
+def test_text_encoder_cuts(definition):
+    import itertools
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(definition)
+    texts = ["".join(x) for k in range(1, 6) for x in itertools.product("as' 1.é\n", repeat=k)] + ["hello <|endoftext|> world", "<|endoftext|", "I'LL we'll'd ''s \x1c a"]
+    ids, n = token_output.TextEncoder(definition)(texts)
+    assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids]
+
+
 def test_text_encoder_matches(definition, real):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(definition)
-    t.encode_special_tokens = True
     texts = [*ODD, "a  b\n\nc \xa0 d", "a\xa0\n b", "　x 　", "it's  a\t\ttest's", *(r.text for r in real.limit(40).collect())]
     ids, n = token_output.TextEncoder(definition)(texts)
     assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids] and n.sum() == len(ids)
