@@ -6,9 +6,9 @@ Four passes, each reading what the one before wrote in the shared folder:
    keep them as a table;
 2. count ids globally, find optimal code lengths of at most ``MAX_BITS`` bits by
    package-merge, and assign canonical codes: lengths alone say all;
-3. code each document's ids, range-sort documents by doc_id, and join them into
-   blocks of about ``BLOCK_BYTES``: doc ids, id counts, and the bit offset of
-   every ``SEGMENT``-th id of a document as a checkpoint;
+3. range-sort documents by doc_id, and code their ids in blocks of about
+   ``BLOCK_IDS``: doc ids, id counts, and the bit offset of every ``SEGMENT``-th
+   id of a document as a checkpoint;
 4. reading back, all segments of a block are decoded side by side with one
    table lookup per id, so blocks and segments need nothing from each other.
 
@@ -17,7 +17,10 @@ plus a small table of code lengths, so it lives in any store that Spark writes.
 Only id counts and one number per file go to the driver; both are bounded by
 the vocabulary and the number of files.
 
-Edge cases: null texts count as empty and give only the end id. Rows that
+Edge cases: null texts count as empty and give only the end id. Text that spells
+an added token is that token's id, as in the library. A long text is encoded
+alone, piece by piece; one of over 2 GB of ids raises an error, and so does a
+vocabulary of more than 2 ** ``MAX_BITS`` ids in use. Rows that
 repeat a doc_id keep their own entries, side by side. Null ids sort first. An
 empty table gives no blocks and no rows. Only doc_id and text are read.
 """
@@ -26,7 +29,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,16 +37,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.chunks import ChunkCache, ragged
+from pagelake.llm.chunks import ChunkCache, by_bytes, ragged
 from pagelake.llm.common import stored
 
 MAX_BITS = 18
 SEGMENT = 512
-BLOCK_BYTES = 1 << 19
-TEXTS_AT_ONCE = 1024
+BLOCK_IDS = 1 << 18
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+BYTES_AT_ONCE = 1 << 22
 END_ID = 2
-#: Blanks outside ASCII; a text with one is encoded whole, as a run of blanks may not be cut.
-_RARE_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Classes of bytes: letters 0, digits 1, blanks 2, apostrophe 3, other ASCII 4, parts of other characters 5.
+_CLASS = np.full(256, 5, np.uint8)
+_CLASS[:128] = 4
+for _k, _chars in ((0, range(65, 91)), (0, range(97, 123)), (1, range(48, 58)), (2, (*range(9, 14), 32)), (3, (39,))):
+    _CLASS[list(_chars)] = _k
+#: Whether a text may be cut between a byte of the first class and one of the second: always before a run of blanks ...
+_BLANK_CUTS = np.zeros((6, 6), bool)
+_BLANK_CUTS[[0, 1, 3, 4, 5], 2] = True
+#: ... and, where runs of letters, digits and signs are tokens apart, at their ends. An apostrophe may belong to the letters after it.
+_CLASS_CUTS = _BLANK_CUTS.copy()
+_CLASS_CUTS[0, [1, 3, 4]] = _CLASS_CUTS[1, [0, 3, 4]] = _CLASS_CUTS[4, [0, 1]] = _CLASS_CUTS[3, 1] = True
+
+
+def rare_blanks(data: np.ndarray) -> np.ndarray:
+    """Places of the UTF-8 blanks other than the six of ASCII, where a run of blanks may not be cut."""
+    one = np.flatnonzero((data >= 0x1C) & (data <= 0x1F))
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    padded = np.append(data, np.zeros(2, np.uint8))
+    a, b, c = data[lead], padded[lead + 1], padded[lead + 2]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    marks = ((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)
+    three = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (((b == 0x80) & marks) | ((b == 0x81) & (c == 0x9F)))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return np.concatenate([one, lead[two | three]])
 
 
 class TextEncoder:
@@ -56,38 +80,45 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_str(definition)
-        self.plain.encode_special_tokens = True
-        self.marked = Tokenizer.from_str(definition)
-        self.mark, self.mark_id = next(((t.content, k) for k, t in self.marked.get_added_tokens_decoder().items() if t.special), (None, None))
+        self.library = Tokenizer.from_str(definition)
+        first = json.loads(definition).get("pre_tokenizer") or {}
+        self.cuts = (_CLASS_CUTS if first.get("type") == "ByteLevel" and first.get("use_regex", True) else _BLANK_CUTS).ravel()
+        added = self.library.get_added_tokens_decoder()
+        self.mark, self.mark_id = next(((t.content, k) for k, t in added.items() if t.special), (None, None))
+        self.added = [t.content for t in added.values()]
         self.cache = ChunkCache(self._new, limit=1_500_000)
 
     def _new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks joined by a special token, which no merge crosses, are encoded in one call."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
         if self.mark is None or any(self.mark[:2] in t for t in texts):
-            ids = [e.ids for e in self.plain.encode_batch(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
             return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
         out, step = [np.zeros(0, np.int32)], 4096
         for s in range(0, len(texts), step):
             joined = self.mark.join(texts[s : s + step]) + self.mark
-            out.append(np.array(self.marked.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32))
+            out.append(np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32))
         ids = np.concatenate(out)
         ends = np.flatnonzero(ids == self.mark_id)
         return ids[ids != self.mark_id], np.diff(np.append(-1, ends)) - 1
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text)."""
+        """(ids of all texts one after the other, number of ids of each text).
+
+        Texts with an added token's own text or a rare blank are encoded whole.
+        """
         raw = [t.encode("utf-8", "replace") for t in texts]
-        whole = np.array([bool(_RARE_BLANKS.search(t)) for t in texts], bool)
         size = np.array([len(r) for r in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(raw), np.int64)
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        kind = _CLASS[data]
         cut = np.zeros(len(data), bool)
-        cut[1:] = blank[1:] & ~blank[:-1]
-        starts = np.cumsum(size) - size
+        cut[1:] = self.cuts[kind[:-1] * np.uint8(6) + kind[1:]]
+        ends = np.cumsum(size)
+        starts = ends - size
+        whole = np.array([any(x in t for x in self.added) for t in texts], bool)
+        whole[np.searchsorted(ends, rare_blanks(data), side="right")] = True
         for k in np.flatnonzero(whole & (size > 0)):
             cut[starts[k] : starts[k] + size[k]] = False
         cut[starts[size > 0]] = True
@@ -110,8 +141,8 @@ def token_ids(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
         for batch in batches:
-            for s in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                b = batch.slice(s, TEXTS_AT_ONCE)
+            for s, rows in by_bytes(batch.column(1), BYTES_AT_ONCE):
+                b = batch.slice(s, rows)
                 ids, n = encoder([t or "" for t in b.column(1).to_pylist()])
                 ends = np.cumsum(n)
                 if end_id is not None:
@@ -130,6 +161,8 @@ def id_format(definition: str) -> np.dtype:
 
 def _blobs(raw: bytes, ends: np.ndarray) -> pa.Array:
     """A binary column from its bytes and the end of each value."""
+    if len(raw) >= 1 << 31:
+        raise ValueError("a batch of more than 2 GB of ids")
     offsets = np.append(0, ends).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
@@ -256,59 +289,47 @@ def unpack(words: np.ndarray, start_bit: np.ndarray, n: np.ndarray, table: tuple
     return out
 
 
-def coded(ids: DataFrame, lengths: np.ndarray, packed: np.dtype) -> DataFrame:
-    """(doc_id, n, payload, marks): each document's code bits and the bit offset of every SEGMENT-th id."""
+def blocks(ids: DataFrame, lengths: np.ndarray, packed: np.dtype) -> DataFrame:
+    """(part, block, start, doc_ids, counts, marks, payload) in ascending doc_id order; start counts ids within the part.
+
+    Ids are sorted as they are and coded where they arrive, so that the range
+    sort's sampling reads doc_ids without coding anything.
+    """
     id_type = ids.schema["doc_id"].dataType.simpleString()
     codes = canonical_codes(lengths)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                b = batch.slice(s, TEXTS_AT_ONCE)
-                flat, n = _unpacked(b.column(1), packed)
-                words, count, own = pack(flat, n, lengths, codes)
-                payload = _blobs(words.astype(">u4").tobytes(), np.cumsum(count) * 4)
-                marks_of = (n + SEGMENT - 1) // SEGMENT
-                at = np.repeat(np.cumsum(n) - n, marks_of) + SEGMENT * ragged(np.zeros(len(n), np.int64), marks_of)
-                marks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(marks_of)), pa.int32()), pa.array(own[at], pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), payload, marks], names=["doc_id", "n", "payload", "marks"])
-
-    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, n long, payload binary, marks array<bigint>")
-
-
-def blocks(coded_docs: DataFrame) -> DataFrame:
-    """(part, block, start, doc_ids, counts, marks, payload) in ascending doc_id order; start counts ids within the part."""
-    id_type = coded_docs.schema["doc_id"].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start, held, size
-            counts = [h[1] for h in held]
-            marks, base = [], 0
-            for h in held:
-                marks.append(np.array(h[3], np.int64) + base * 8)
-                base += len(h[2])
-            row = {"part": [part], "block": [block], "start": [start], "doc_ids": [[h[0] for h in held]], "counts": [counts], "marks": [np.concatenate(marks).tolist()], "payload": [b"".join(h[2] for h in held)]}
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(ids_of), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            block, start, held, size = block + 1, start + sum(counts), [], 0
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
-
-        ids_of = pa.int64()
+            docs, flat, n = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            words, count, own = pack(flat, n, lengths, codes)
+            marks_of = (n + SEGMENT - 1) // SEGMENT
+            at = np.repeat(np.cumsum(n) - n, marks_of) + SEGMENT * ragged(np.zeros(len(n), np.int64), marks_of)
+            marks = own[at] + np.repeat((np.cumsum(count) - count) * 32, marks_of)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            cols = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), one(docs), one(pa.array(n)), one(pa.array(marks)), pa.array([words.astype(">u4").tobytes()], pa.binary())]
+            block, start, held, size = block + 1, start + int(n.sum()), [], 0
+            return pa.RecordBatch.from_arrays(cols, names=["part", "block", "start", "doc_ids", "counts", "marks", "payload"])
+
         for b in batches:
-            ids_of = b.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size >= BLOCK_BYTES:
+            flat, n = _unpacked(b.column(1), packed)
+            ends, at = np.cumsum(n), 0
+            while at < len(n):
+                done = int(ends[at] - n[at])
+                to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_IDS - size, side="right")))
+                held.append((b.column(0).slice(at, to - at), flat[done : ends[to - 1]], n[at:to]))
+                size += int(ends[to - 1]) - done
+                at = to
+                if size >= BLOCK_IDS or at < len(n):
                     yield flush()
         if held:
             yield flush()
 
-    ordered = coded_docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "payload")
+    ordered = ids.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     return ordered.mapInArrow(run, f"part int, block int, start long, doc_ids array<{id_type}>, counts array<bigint>, marks array<bigint>, payload binary")
 
 
@@ -317,7 +338,7 @@ def write(df: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "t
     ids = token_ids(df, definition, doc_id, text, end_id)
     kept, packed = stored(ids, "token-ids", compression="zstd"), id_format(definition)
     lengths = code_lengths(id_counts(kept, packed))
-    return stored(blocks(coded(kept, lengths, packed)), "token-blocks"), lengths
+    return stored(blocks(kept, lengths, packed), "token-blocks"), lengths
 
 
 def read(table: DataFrame, lengths: np.ndarray, each: Callable[[np.ndarray, np.ndarray], list[pa.Array]] | None = None, columns: str = "ids array<int>") -> DataFrame:
