@@ -71,7 +71,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("text").isNull(), 16).otherwise(F.octet_length("text") + 16).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
     )
-    dims = {"source": sharding.text_rank(F.col("source")), "lang": sharding.text_rank(F.col("lang")), "size": F.col("size")}
+    dims = {c: F.col(c) for c in ("source", "lang", "size")}
     return sharding.shard(docs, dims).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -447,14 +447,64 @@ def test_text_encoder_matches(definition, real):
 # --- 7 sharding
 
 
-def test_hilbert_curve():
+def hilbert(cell, bits):
+    """Index on the curve by plain integers: undo the reflections from the top bit down, then read the Gray code."""
+    x = list(cell)
+    for k in range(bits - 1, 0, -1):
+        for i in range(len(x)):
+            if x[i] >> k & 1:
+                x[0] ^= (1 << k) - 1
+            else:
+                t = (x[0] ^ x[i]) & ((1 << k) - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t if i else x[0] ^ t
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t = 0
+    for k in range(bits - 1, 0, -1):
+        t ^= ((1 << k) - 1) * (x[-1] >> k & 1)
+    return int("".join(str((v ^ t) >> k & 1) for k in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_hilbert_curve(spark):
     for dims, bits in ((2, 4), (3, 3)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij")).reshape(dims, -1)
-        at = sharding.hilbert_index(grid, bits)
-        assert sorted(at) == list(range(len(at)))
+        names = [f"c{i}" for i in range(dims)]
+        df = spark.createDataFrame([(k, *c) for k, c in enumerate(grid.T.tolist())], "k int, " + ", ".join(f"{n} long" for n in names))
+        got = {r.k: r.hilbert for r in sharding.with_hilbert(df, names, bits).collect()}
+        at = np.array([got[k] for k in range(grid.shape[1])])
+        assert sorted(at) == list(range(len(at))) and at.tolist() == [hilbert(c, bits) for c in grid.T.tolist()]
         assert (np.abs(np.diff(grid[:, np.argsort(at)], axis=1)).sum(axis=0) == 1).all()
 
 
+def plain_cells(values, steps):
+    have = sorted(v for v in values if v is not None)
+    at = [have[-(-k * len(have) // steps) - 1] for k in range(1, steps)] if have else []
+    return [0 if v is None else sum(c < v for c in at) for v in values]
+
+
+def test_shards_against_brute_force(spark, real):
+    got = {r.doc_id: r for r in registry.op7_sharding(spark, DATA).collect()}
+    rows = [(r.doc_id, r.source, r.lang, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in real.collect()]
+    cells = list(zip(*(plain_cells([r[k] for r in rows], 32) for k in (1, 2, 3)), strict=True))
+    order = sorted(range(len(rows)), key=lambda k: (hilbert(cells[k], 5), rows[k][0]))
+    starts = [-(-k * len(rows) // 40) for k in range(41)]
+    for rank, k in enumerate(order):
+        shard = next(s for s in range(40) if starts[s] <= rank < starts[s + 1])
+        g = got.pop(rows[k][0])
+        assert (g["size"], g.text_crc32, g.law, g.shard, g.slot, g.grown_shard) == (*rows[k][3:], "rows", shard, rank - starts[shard], None)
+    assert not got
+
+
+def test_shards_rerun_and_prefixes(spark, docs):
+    rows = [(i % 7, f"https://{'x' * 20}/{i % 9}", None if i % 5 == 0 else float(i % 11)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, hilbert double")
+    dims = {"source": F.col("source"), "n": F.col("hilbert")}
+    runs = [sorted(map(tuple, sharding.shard(df.repartition(n), dims, 6).drop("hilbert").collect()), key=str) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    steps = sharding.cuts(df.select(F.col("source").alias("v")), 32)
+    assert len(steps) == 31 and len(set(steps)) == 9
+
+
 def test_shards(spark, docs, empty, tmp_path):
     got = registry.op7_sharding(spark, DATA).collect()
     slots = collections.defaultdict(list)
@@ -462,11 +512,13 @@ def test_shards(spark, docs, empty, tmp_path):
         slots[r.shard].append(r.slot)
     assert len(slots) == 40 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    dims = {"source": sharding.text_rank(F.col("source")), "n": F.col("n_chars")}
+    dims = {"source": F.col("source"), "n": F.col("n_chars")}
     assert sharding.shard(docs.drop("text"), dims).count() == len(ROWS) and sharding.shard(empty, dims).count() == 0
-    some = docs.where("doc_id IN (4, 6, 7)")
-    sharding.write_shards(some, sharding.shard(some.drop("text"), dims, 2), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 3
+    assert sharding.shard(docs.withColumn("source", F.lit(None).cast("string")), dims).count() == len(ROWS)
+    some = docs.where("doc_id IN (4, 6, 7)").withColumn("slot", F.lit(3))
+    sharding.write_shards(some, sharding.shard(some.drop("text", "slot"), dims, 2), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 3 and set(back.columns) == {*some.columns, "shard"}
 
 
 # --- 8 mixing
