@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,7 +40,9 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage durably: a lost executor costs no recomputation of what
-    came before. The files go when the driver's JVM ends.
+    came before. The files go when the driver's JVM ends, or with :func:`dropped`.
+    The driver collects its garbage, upon which Spark removes the shuffle files
+    that nothing refers to any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -47,7 +50,19 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

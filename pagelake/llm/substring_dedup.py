@@ -1,62 +1,73 @@
-"""Substring dedup: verbatim passages by shared windows of words, near copies by MinHash banding of lines.
+"""Substring dedup: verbatim passages by shared units of words, near copies by MinHash banding of lines.
+
+Both kinds of paragraph are found by keys, joined, and verified.
 
 Verbatim passages ignore lines. A window is ``MIN_WORDS`` words in a row, across
-line breaks too; one that two documents share is part of a passage. To find
-them, every window is represented by the least hash of its runs of ``RUN``
-words, its anchor; equal windows have equal anchors, and neighbours mostly share
-one, so anchors are few. Only windows whose anchor occurs in another document are
-shuffled, by a 128-bit hash of all their words. A passage is a maximal run of
-shared windows, so it starts and ends at its true first and last word.
-
-Near copies are found by paragraph. A paragraph is a line with words. Equal
-paragraphs meet by their hash. For near copies, each distinct paragraph's
-five-word shingles give a MinHash signature of ``BANDS`` bands of ``ROWS``
-values, tuned for recall: a pair of similarity 0.8 shares a band with
-probability 1 - (1 - 0.8^4)^12 = 0.998. Paragraphs that share a band key are
-verified by the exact Jaccard similarity of their shingle sets (0.8 or more),
-and components over the links are the classes. In a run of neighbouring
-paragraphs that each occur in another document too, with ``MIN_WORDS`` words or
-more together, each paragraph is a row of its own class, but those without near
-copies that verbatim passages cover.
+line breaks too; one that two documents share is part of a passage, and a
+passage is a maximal run of shared windows, so it starts and ends at its true
+first and last word. A window's anchor is the least hash of its runs of ``RUN``
+words; neighbours mostly share one, and those that do make a unit, a paragraph
+that the content cuts, wherever it stands in its line. Documents that share a
+window share its anchor. Where all units of an anchor have the same words, they
+are copies as a whole; only where they differ, at the ends of passages, are
+windows compared one by one, and only once for each different unit.
+
+Near copies are found by line. Each distinct line's five-word shingles give a
+MinHash signature of ``BANDS`` bands of ``ROWS`` values, tuned for recall: a pair
+of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
+Lines that share a band key are verified by the exact Jaccard similarity of
+their shingle sets (0.8 or more), and components over the links are the classes.
+In a run of neighbouring lines that each occur in another document too, with
+``MIN_WORDS`` words or more together, each line is a row of its own class, but
+those without near copies that verbatim passages cover.
 
 Of each class the first occurrence (smallest doc_id, then position) stays.
 Verbatim passages with one first occurrence have one component: the run of
 first occurrences in the keeping document that they are copies of.
 
-Scale: equal texts give their windows once. A paragraph's copies are collapsed
-before banding; keys are shuffled as two longs; only paragraphs that collide
-have their texts fetched. Under a key a member is compared to the clusters found
-so far, and stops at its first match in each, so a large group of near copies
-costs one comparison per member and emits a spanning set of links, not all pairs.
-
-Paragraphs are told apart by a 64-bit hash; among 10^10 distinct paragraphs
-about three pairs would coincide, and a coincidence matters only inside a
-passage that otherwise repeats.
-
-Edge cases: null, empty and blank texts have no paragraphs. Paragraphs of fewer
-than five words only match exactly. Rows that repeat doc_id and text count
-once; null doc_ids are left out. An empty table gives no rows.
+Scale: shuffled are units (one for some twelve words), keys as two longs, and
+the texts of documents that hold something to compare, three times. Copies of a
+line are collapsed before banding. A key with many members is split into parts
+(see :func:`verified`), so a large group of near copies costs a comparison or
+two a member, in many tasks. Tables that nothing reads any more are deleted.
+
+Words are told apart by their bytes (up to 15) or a 120-bit digest; runs of words
+by two 64-bit hashes, lines by one: among 10^10 distinct lines about three pairs
+would coincide, and a coincidence matters only inside a passage that otherwise
+repeats.
+
+Edge cases: null, empty and blank texts have no paragraphs; nor have long texts
+without blanks, which are one word. Long texts are looked at alone, whole.
+Lines of fewer than five words only match exactly. Rows that repeat doc_id and
+text count once; null doc_ids are left out. An empty table gives no rows. Other
+columns are not read, so their names cannot clash; :func:`without` passes them on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import operator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.chunks import _mixed, _powers, ragged, span_hashes
-from pagelake.llm.common import BLANKS, checkpointed, stored
+from pagelake.llm.chunks import _mixed, _powers, by_bytes, ragged, span_hashes
+from pagelake.llm.common import BLANKS, checkpointed, dropped, stored
 from pagelake.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 MIN_WORDS = 50
-RUN = 16
-TEXTS_AT_ONCE = 512
+#: Members of a band key that are compared in one task; larger keys are split.
+PART = 256
+RUN = 20
+#: Bytes of text that are looked at together; a longer text is looked at alone.
+BYTES_AT_ONCE = 1 << 22
+UNIT_BASE, WINDOW_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
 def _signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -114,8 +125,8 @@ def paragraphs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                b = batch.slice(s, TEXTS_AT_ONCE)
+            for s, rows in by_bytes(batch.column(2), BYTES_AT_ONCE):
+                b = batch.slice(s, rows)
                 got = _paragraphs([t or "" for t in b.column(2).to_pylist()])
                 if not got:
                     continue
@@ -125,45 +136,49 @@ def paragraphs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 cols = [b.column(0).take(at), b.column(1).take(at), *[pa.array(got[c].astype(np.int64)) for c in ("line", "nth", "start", "end", "words", "h")], bands]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_hash", "line", "nth", "start", "end", "words", "h", "bands"])
 
-    rows = df.select(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`").alias("doc_hash"), F.col(f"`{text}`")).where(F.col(f"`{doc_id}`").isNotNull())
+    docs = df.select(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`").alias("doc_hash"), F.col(f"`{text}`")).where(F.col(f"`{doc_id}`").isNotNull())
     schema = f"doc_id {id_type}, doc_hash long, line long, nth long, start long, end long, words long, h long, bands array<bigint>"
-    return rows.mapInArrow(run, schema)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(rows, start of each key) of whole keys, from batches sorted by their first column."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        if sum(x.num_rows for x in held) < size:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        k = t.column(0).to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))
-        if cut:
-            yield t.slice(0, cut), np.flatnonzero(np.append(True, k[1:cut] != k[: cut - 1]))
-        held = t.slice(cut).to_batches()
-    if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        k = t.column(0).to_numpy()
-        yield t, np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    return docs.mapInArrow(run, schema)
 
 
 def colliding(unique: DataFrame) -> DataFrame:
-    """(key, h) of the band keys that more than one distinct paragraph has."""
+    """(key, h) of the band keys that more than one distinct paragraph has; rows stream by, whatever a key's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _groups(batches, 100_000):
-            size = np.diff(np.append(starts, t.num_rows))
-            keep = ragged(starts[size > 1], size[size > 1])
-            yield from t.take(pa.array(keep)).to_batches()
+        k, h, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, h = np.append(k[-1:], b.column(0).to_numpy()), np.append(h[-1:], b.column(1).to_numpy())
+            same = k[1:] == k[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            keep[0] |= met
+            met = bool(keep[-1])
+            keep[-1] = False  # it waits for the row after it
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(h[keep])], names=["key", "h"])
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(k[-1:]), pa.array(h[-1:])], names=["key", "h"])
 
     keyed = unique.select(F.explode("bands").alias("key"), "h")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, h long")
 
 
+def line_texts(df: DataFrame) -> DataFrame:
+    """(h, t) of the lines in ``todo``, from (doc_id, doc_hash, text, todo) rows; a text is split once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, todo = _fields(b.column(3))
+            lines, out = None, []
+            for k, line in zip(of.tolist(), todo["line"].to_pylist(), strict=True):
+                if lines is None or lines[0] != k:
+                    lines = (k, b.column(2)[k].as_py().split("\n"))
+                out.append(lines[1][line])
+            yield pa.RecordBatch.from_arrays([todo["h"], pa.array(out, pa.string())], names=["h", "t"])
+
+    return df.mapInArrow(run, "h long, t string")
+
+
 def shingle_set(text: str, size: int = SHINGLE) -> frozenset:
     w = text.encode("utf-8", "replace").split()
     return frozenset(zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)])
@@ -176,11 +191,11 @@ def similar(a: frozenset, b: frozenset, least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _linked(hs: list[int], texts: list[str]) -> list[tuple[int, int]]:
-    """A spanning set of the links among the paragraphs of one key."""
+def _linked(members: Iterable[tuple[int, str]]) -> tuple[list[tuple[int, int]], list[list[tuple[int, frozenset]]]]:
+    """(a spanning set of the links among (h, text) members, their clusters)."""
     clusters: list[list[tuple[int, frozenset]]] = []
     out = []
-    for h, t in zip(hs, texts, strict=True):
+    for h, t in members:
         mine, joined = shingle_set(t), []
         for c in clusters:
             hit = next((g for g, s in c if similar(mine, s)), None)
@@ -190,25 +205,106 @@ def _linked(hs: list[int], texts: list[str]) -> list[tuple[int, int]]:
         if joined:
             for c in joined[1:]:
                 joined[0].extend(c)
-                clusters.remove(c)
+            clusters = [c for c in clusters if not any(c is j for j in joined[1:])]
             joined[0].append((h, mine))
         else:
             clusters.append([(h, mine)])
-    return out
+    return out, clusters
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows with the same first two columns, as they stream by."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return itertools.groupby(rows, operator.itemgetter(0, 1))
+
+
+def _pairs(found: Iterable[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    found = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(columns.values())], names=list(columns))
 
 
-def verified(rows: DataFrame) -> DataFrame:
-    """(a, b) links from (key, h, t) rows."""
+LINK = {"a": pa.int64(), "b": pa.int64()}
+MEMBER = {"key": pa.int64(), "part": pa.int64(), "h": pa.int64(), "cluster": pa.int64(), "base": pa.bool_()}
+
+
+def _links_in_parts(rows: DataFrame) -> DataFrame:
+    """(a, b) links among the members of each part, from (key, part, h, t) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set = set()
+        for _, group in _by_part(batches):
+            found.update(_linked(row[2:] for row in group)[0])
+            if len(found) > 10_000:
+                yield _pairs(found, LINK)
+                found = set()
+        yield _pairs(found, LINK)
+
+    return rows.select("key", "part", "h", "t").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
+
+
+def _clusters_in_parts(rows: DataFrame) -> DataFrame:
+    """(key, part, h, cluster, base): a cluster is known by its first member; the part's largest is its base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _groups(batches, 2_000):
-            h, texts, out = t.column(1).to_pylist(), t.column(2).to_pylist(), set()
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                out.update(_linked(h[a:b], texts[a:b]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        for (key, part), group in _by_part(batches):
+            clusters = _linked(row[2:] for row in group)[1]
+            largest = max(clusters, key=len)
+            yield _pairs(((key, part, h, c[0][0], c is largest) for c in clusters for h, _ in c), MEMBER)
+
+    return rows.select("key", "part", "h", "t").repartition("key", "part").sortWithinPartitions("key", "part", "h").mapInArrow(run, "key long, part long, h long, cluster long, base boolean")
+
 
-    return rows.select("key", "h", "t").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+def _links_of_visitors(rows: DataFrame) -> DataFrame:
+    """(a, b) links of visitors to the members of a part, from (key, part, visits, home, cluster, h, t) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _by_part(batches):
+            here: dict[int, list[tuple[int, frozenset]]] = {}
+            found = []
+            for _, part, visits, home, cluster, h, t in group:  # members come before visitors
+                mine = shingle_set(t)
+                if not visits:
+                    here.setdefault(cluster, []).append((h, mine))
+                    continue
+                for c, members in here.items():
+                    if (home, cluster) != (part, c) and (hit := next((g for g, s in members if similar(mine, s)), None)) is not None:
+                        found.append((min(h, hit), max(h, hit)))
+            yield _pairs(found, LINK)
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "visits").mapInArrow(run, "a long, b long")
+
+
+def verified(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links between the paragraphs of each key, from (key, h) and (h, t) rows.
+
+    The members of a large key are dealt over parts of about ``PART`` members.
+    Each part finds its own clusters, and the parts' largest clusters are linked
+    by their first members. Members outside the largest class that this gives
+    then visit every part of their key, so that no link between parts is lost
+    and a large group of near copies still costs a comparison or two a member.
+    """
+    large = checkpointed(buckets.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART))
+    sized = buckets.join(large, F.col("key") == F.col("of"), "left")
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / PART)
+    sized = sized.select("key", F.pmod(F.xxhash64("h"), parts).alias("part"), parts.alias("parts"), F.col("h").alias("g"))
+    rows = sized.join(texts, F.col("g") == F.col("h")).select("key", "part", "parts", "h", "t")
+    links = _links_in_parts(rows)
+    if not large.take(1):
+        return links
+    rows = stored(rows.where("parts > 1"), "paragraphs-of-large-keys")
+    members = stored(_clusters_in_parts(rows), "clusters-of-large-keys")
+    heads = members.where("base AND h = cluster").select(F.col("key").alias("k"), F.col("h").alias("g"))
+    heads = rows.join(heads, (F.col("key") == F.col("k")) & (F.col("h") == F.col("g"))).withColumn("part", F.lit(0))
+    classes = stored(_clusters_in_parts(heads), "classes-of-large-keys")  # a row for each part of a large key
+    main = classes.where("base").select(F.col("key").alias("k"), F.col("h").alias("head"))
+    members = members.join(main, (F.col("key") == F.col("k")) & (F.col("cluster") == F.col("head")), "left")
+    members = members.select(F.col("key").alias("mk"), F.col("h").alias("mh"), "cluster", F.col("head").isNull().alias("out"))
+    rows = rows.join(members, (F.col("key") == F.col("mk")) & (F.col("h") == F.col("mh"))).select("key", "part", "parts", "cluster", "h", "t", "out")
+    visits = rows.where("out").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"), "part", "cluster", "h", "t")
+    visits = visits.select("key", F.col("at").alias("part"), F.lit(True).alias("visits"), F.col("part").alias("home"), "cluster", "h", "t")
+    rows = rows.select("key", "part", F.lit(False).alias("visits"), F.col("part").alias("home"), "cluster", "h", "t")
+    of_heads = _links_in_parts(heads)
+    return links.unionByName(of_heads).unionByName(_links_of_visitors(rows.unionByName(visits)))
 
 
 def _words(texts: list[str]) -> dict[str, np.ndarray] | None:
@@ -238,87 +334,164 @@ def _rolling(w: np.ndarray, size: int, base: int) -> np.ndarray:
     return _mixed((sums[size:] - sums[:-size]) * _powers(pow(base, -1, 1 << 64), len(w) - size + 1))
 
 
-def _anchors(words: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, anchor) of every window of ``size`` words inside one document."""
+def _units(words: dict[str, np.ndarray], size: int) -> dict[str, np.ndarray]:
+    """Runs of windows of ``size`` words with one anchor: first window, number of windows, anchor a, hash h of all the run's words."""
     doc, run = words["doc"], min(RUN, size)
     at = np.flatnonzero(doc[size - 1 :] == doc[: max(0, len(doc) - size + 1)])
+    if not len(at):
+        return {}
     least, span, wanted = _rolling(words["w"], run, 0x9E3779B97F4A7C15), 1, size - run + 1
-    while len(at) and span < wanted:
+    where = np.arange(len(least))
+    while span < wanted:
         step = min(span, wanted - span)
+        where = np.where(least[step:] < least[:-step], where[step:], where[:-step])
         least, span = np.minimum(least[:-step], least[step:]), span + step
-    return at, least[at].view(np.int64)
+    least, where, of = least[at], where[at], doc[at]
+    first = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (of[1:] != of[:-1])))
+    n, lo = np.diff(np.append(first, len(at))), at[first]
+    sums = np.append(np.uint64(0), np.cumsum(words["w"] * _powers(UNIT_BASE, len(doc))))
+    whole = (sums[lo + n + size - 1] - sums[lo]) * _powers(pow(UNIT_BASE, -1, 1 << 64), len(doc))[lo]
+    return {"at": lo, "n": n, "a": least[first].view(np.int64), "h": _mixed(whole + _mixed(n)).view(np.int64)}
 
 
-def anchors(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, doc_hash, a) of the anchors of every document, from (doc_id, doc_hash, text) rows."""
+def units(df: DataFrame, size: int) -> DataFrame:
+    """(doc_id, doc_hash, a, h, lo, n) of the units of every document, from (doc_id, doc_hash, text) rows; lo is the first word's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                b = batch.slice(s, TEXTS_AT_ONCE)
+            for s, rows in by_bytes(batch.column(2), BYTES_AT_ONCE):
+                b = batch.slice(s, rows)
                 words = _words([t or "" for t in b.column(2).to_pylist()])
-                if words is None:
+                got = _units(words, size) if words else {}
+                if not got:
                     continue
-                at, a = _anchors(words, size)
-                doc = words["doc"][at]
-                new = np.flatnonzero((a[1:] != a[:-1]) | (doc[1:] != doc[:-1])) + 1
-                new = np.append(0, new) if len(at) else new
-                where = pa.array(doc[new])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(a[new])], names=["doc_id", "doc_hash", "a"])
+                doc = words["doc"][got["at"]]
+                lo, of = got["at"] - np.searchsorted(words["doc"], doc), pa.array(doc)
+                cols = [b.column(0).take(of), b.column(1).take(of), pa.array(got["a"]), pa.array(got["h"]), pa.array(lo.astype(np.int32)), pa.array(got["n"].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_hash", "a", "h", "lo", "n"])
+
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, doc_hash long, a long, h long, lo int, n int")
+
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, doc_hash long, a long")
+def _fields(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]:
+    """Row number and fields of every struct in a column of arrays of structs."""
+    flat = column.flatten()
+    of = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    return of, {f.name: flat.field(k) for k, f in enumerate(flat.type)}
+
+
+def _first_word(words: dict[str, np.ndarray], texts: int) -> np.ndarray:
+    """Number, in the batch, of the first word of each text."""
+    return np.searchsorted(words["doc"], np.arange(texts))
 
 
 def windows(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, hi, doc_hash, pos, start, end, nth, last, g, g2) of the windows whose anchor is wanted, from (doc_id, hi, doc_hash, text, wanted) rows."""
+    """(doc_id, doc_hash, a, h, g, j, pos, top) of every window of the units in ``todo``, from (doc_id, doc_hash, text, todo) rows."""
+    id_type = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, TEXTS_AT_ONCE // 8):
-                b = batch.slice(s, TEXTS_AT_ONCE // 8)
-                words = _words([t or "" for t in b.column(3).to_pylist()])
-                if words is None:
-                    continue
-                at, a = _anchors(words, size)
-                wanted = b.column(4)
-                # An anchor that only another text of the batch wants adds windows that turn out not to be shared.
-                at = at[np.isin(a, wanted.flatten().to_numpy(zero_copy_only=False))]
-                doc, end = words["doc"][at], at + size - 1
-                pos = at - np.searchsorted(words["doc"], doc)
-                g = [_rolling(words["w"], size, base)[at].view(np.int64) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)] if len(at) else [np.zeros(0, np.int64)] * 2
-                where = pa.array(doc)
-                cols = [b.column(0).take(where), b.column(1).take(where), b.column(2).take(where), *[pa.array(c.astype(np.int64)) for c in (pos, words["start"][at], words["end"][end], words["nth"][at], words["nth"][end], *g)]]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "hi", "doc_hash", "pos", "start", "end", "nth", "last", "g", "g2"])
-
+            for s, rows in by_bytes(batch.column(2), BYTES_AT_ONCE):
+                b = batch.slice(s, rows)
+                words = _words(b.column(2).to_pylist())
+                of, todo = _fields(b.column(3))
+                lo, n = todo["lo"].to_numpy().astype(np.int64), todo["n"].to_numpy().astype(np.int64)
+                at = ragged(_first_word(words, rows)[of] + lo, n)
+                j, unit = ragged(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)
+                doc, of_unit = pa.array(of[unit]), pa.array(unit)
+                g = _rolling(words["w"], size, WINDOW_BASE)[at].view(np.int64)
+                cols = [b.column(0).take(doc), b.column(1).take(doc), todo["a"].take(of_unit), todo["h"].take(of_unit), pa.array(g), pa.array(j.astype(np.int32)), pa.array((lo[unit] + j).astype(np.int32)), todo["top"].take(of_unit)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_hash", "a", "h", "g", "j", "pos", "top"])
+
+    return df.mapInArrow(run, f"doc_id {id_type}, doc_hash long, a long, h long, g long, j int, pos int, top {id_type}")
+
+
+def spans(df: DataFrame, size: int) -> DataFrame:
+    """Passages of each text from its runs of shared windows, in (doc_id, doc_hash, text, runs) rows: runs that touch and agree are one."""
     id_type = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {id_type}, hi {id_type}, doc_hash long, pos long, start long, end long, nth long, last long, g long, g2 long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, rows in by_bytes(batch.column(2), BYTES_AT_ONCE):
+                b = batch.slice(s, rows)
+                words = _words(b.column(2).to_pylist())
+                of, runs = _fields(b.column(3))
+                lo, hi, own, component = (runs[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi", "own", "component_id"))
+                order = np.lexsort((lo, of))
+                of, lo, hi, own, component = of[order], lo[order], hi[order], own[order], component[order]
+                new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (lo[1:] != hi[:-1] + 1) | (own[1:] != own[:-1]) | (component[1:] != component[:-1])))
+                last = np.append(new[1:], len(lo)) - 1
+                base = _first_word(words, rows)[of[new]]
+                a, z = base + lo[new], base + hi[last] + size - 1
+                lines = words["nth"][z] - words["nth"][a] + 1
+                doc = pa.array(of[new])
+                numbers = [words["start"][a], words["end"][z], z - a + 1, lines, np.where(own[new] == 1, 0, lines)]
+                cols = [b.column(0).take(doc), b.column(1).take(doc), *[pa.array(x.astype(np.int64)) for x in numbers], runs["keep_doc_id"].take(pa.array(order[new])), pa.array(component[new])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_hash", "start", "end", "n_words", "n_lines", "removed_lines", "keep_doc_id", "component_id"])
+
+    return df.mapInArrow(run, f"doc_id {id_type}, doc_hash long, start long, end long, n_words long, n_lines long, removed_lines long, keep_doc_id {id_type}, component_id long")
+
+
+def _with_texts(docs: DataFrame, todo: DataFrame, column: str) -> DataFrame:
+    """Each document's text beside its own ``todo``; rows that repeat doc_id and text give several."""
+    todo = todo.withColumnsRenamed({"doc_id": "_id", "doc_hash": "_hash"})
+    return docs.join(todo, (F.col("doc_id") == F.col("_id")) & (F.col("doc_hash") == F.col("_hash"))).select("doc_id", "doc_hash", "text", column)
+
+
+def shared_runs(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(a, h, j1, j2, f_id, f_hash, f_pos): the runs of windows of each kind of unit that two documents share, and their first occurrence.
+
+    A kind of unit is all that have the anchor ``a`` and the words ``h``. Where an
+    anchor has one kind, all its windows are shared or none. Only where it has
+    several, at the ends of passages, are windows looked at one by one, once a kind.
+    """
+    kinds = wanted.groupBy("a", "h").agg(F.min(F.struct("doc_id", "doc_hash", "lo")).alias("first"), F.max("doc_id").alias("top"), F.first("n").alias("n"))
+    kinds = stored(kinds, "unit-kinds", compression="zstd")
+    several = kinds.groupBy(F.col("a").alias("several")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("several")
+    kinds = kinds.join(several, F.col("a") == F.col("several"), "left")
+    whole = kinds.where("several IS NULL AND first.doc_id <> top").select("a", "h", F.lit(0).alias("j1"), (F.col("n") - 1).alias("j2"), F.col("first.doc_id").alias("f_id"), F.col("first.doc_hash").alias("f_hash"), F.col("first.lo").alias("f_pos"))
+    todo = kinds.where("several IS NOT NULL").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_hash").alias("doc_hash")).agg(F.collect_list(F.struct("a", "h", F.col("first.lo").alias("lo"), "n", "top")).alias("todo"))
+    rows = stored(windows(_with_texts(docs, todo, "todo"), size), "windows", compression="zstd")
+    first = rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "doc_hash", "pos")).alias("first"), F.max("top").alias("top")).where("first.doc_id <> top")
+    first = stored(first.select(F.col("a").alias("b"), F.col("g").alias("of"), "first"), "windows-first", compression="zstd")
+    hits = rows.select("a", "h", "g", "j").join(first, (F.col("a") == F.col("b")) & (F.col("g") == F.col("of")))
+    hits = hits.groupBy("a", "h", F.col("first.doc_id").alias("f_id"), F.col("first.doc_hash").alias("f_hash"), (F.col("first.pos") - F.col("j")).alias("shift")).agg(F.sort_array(F.collect_set("j")).alias("js"))
+    # a kind has no more windows than an anchor reaches, so the arrays are short
+    edge = lambda by: F.filter("js", lambda x: ~F.array_contains("js", x + by))
+    ends = hits.select("a", "h", "f_id", "f_hash", "shift", F.explode(F.arrays_zip(edge(-1).alias("j1"), edge(1).alias("j2"))).alias("e"))
+    part = ends.select("a", "h", "e.j1", "e.j2", "f_id", "f_hash", (F.col("shift") + F.col("e.j1")).alias("f_pos"))
+    out = stored(whole.unionByName(part), "unit-runs", compression="zstd")
+    dropped(rows, first)
+    return out
+
+
+def _with_components(runs: DataFrame) -> DataFrame:
+    """Add component_id: the run of first occurrences in the keeping text that the first occurrences belong to."""
+    lengths = runs.select("f_id", "f_hash", "f_pos", (F.col("f_pos") + F.col("j2") - F.col("j1")).alias("f_end")).distinct()
+    along = Window.partitionBy("f_id", "f_hash").orderBy("f_pos", "f_end")
+    reach = F.max("f_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    islands = lengths.withColumn("new", F.coalesce(F.col("f_pos") > reach + 1, F.lit(True)))
+    start = F.max(F.when(F.col("new"), F.col("f_pos"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    islands = islands.select(F.col("f_id").alias("i_id"), F.col("f_hash").alias("i_hash"), F.col("f_pos").alias("i_pos"), F.col("f_end").alias("i_end"), F.xxhash64("f_hash", "f_id", start).alias("component_id"))
+    same = (F.col("f_id") == F.col("i_id")) & (F.col("f_hash") == F.col("i_hash")) & (F.col("f_pos") == F.col("i_pos")) & (F.col("f_pos") + F.col("j2") - F.col("j1") == F.col("i_end"))
+    return runs.join(islands, same).select(F.col("a").alias("ra"), F.col("h").alias("rh"), "j1", "j2", "f_id", "f_hash", "f_pos", "component_id")
 
 
 def verbatim(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``passages`` for exact copies of ``min_words`` words or more, and doc_hash; every such word is in one."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("doc_hash"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = stored(anchors(docs, min_words), "anchors", compression="zstd")
-    shared = found.groupBy(F.col("a").alias("b")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("b")
-    wanted = found.join(shared, F.col("a") == F.col("b")).groupBy(F.col("doc_hash").alias("of")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.collect_set("a").alias("wanted"))
-    wanted = stored(wanted, "anchors-shared", compression="zstd")
-    texts = docs.join(wanted, (F.col("doc_hash") == F.col("of")) & (F.col("doc_id") == F.col("lo"))).select("doc_id", "hi", "doc_hash", "text", "wanted")
-    rows = stored(windows(texts, min_words), "windows", compression="zstd")
-    first = F.min(F.struct("doc_id", "doc_hash", "pos"))
-    repeated = rows.groupBy("g", "g2").agg(first.alias("first"), F.min("doc_id").alias("lo"), F.max("hi").alias("top")).where("lo <> top")
-    nth = F.row_number().over(Window.partitionBy("first.doc_hash").orderBy("first.pos"))
-    repeated = repeated.select("g", "g2", "first", F.xxhash64("first.doc_hash", F.col("first.pos") - nth).alias("component_id"))
-    hits = rows.join(stored(repeated, "windows-first"), ["g", "g2"])
-    hits = hits.select("doc_id", "doc_hash", "pos", "start", "end", "nth", "last", "component_id", F.col("first.doc_id").alias("keep_doc_id"), (F.col("first") == F.struct("doc_id", "doc_hash", "pos")).alias("own"))
-    along = Window.partitionBy("doc_hash").orderBy("pos")
-    changed = F.coalesce((F.col("pos") > F.lag("pos").over(along) + 1) | (F.col("component_id") != F.lag("component_id").over(along)) | (F.col("own") != F.lag("own").over(along)), F.lit(True))
-    hits = hits.withColumn("changed", changed).withColumn("run", F.sum(F.col("changed").cast("long")).over(along))
-    runs = hits.groupBy("doc_hash", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("pos") - F.min("pos") + min_words).alias("n_words"), (F.max("last") - F.min("nth") + 1).alias("n_lines"),
-        F.first("own").alias("own"), F.first("keep_doc_id").alias("keep_doc_id"), F.first("component_id").alias("component_id"),
-    )
-    ids = docs.select("doc_id", F.col("doc_hash").alias("of")).distinct()
-    removed = F.when(F.col("own") & (F.col("doc_id") == F.col("keep_doc_id")), 0).otherwise(F.col("n_lines")).cast("long")
-    return runs.join(ids, F.col("doc_hash") == F.col("of")).select("doc_id", "doc_hash", "start", "end", "n_words", "n_lines", removed.alias("removed_lines"), "keep_doc_id", "component_id")
+    found = stored(units(docs, min_words), "units", compression="zstd")
+    shared = found.groupBy(F.col("a").alias("b")).agg(F.min("doc_id").alias("lo_id"), F.max("doc_id").alias("hi_id")).where("lo_id <> hi_id").select("b")
+    wanted = stored(found.join(shared, F.col("a") == F.col("b")).drop("b"), "units-shared", compression="zstd")
+    dropped(found)
+    runs = stored(_with_components(shared_runs(docs, wanted, min_words)), "unit-components", compression="zstd")
+    hits = wanted.join(runs, (F.col("a") == F.col("ra")) & (F.col("h") == F.col("rh")))
+    own = (F.col("doc_id") == F.col("f_id")) & (F.col("doc_hash") == F.col("f_hash")) & (F.col("lo") + F.col("j1") == F.col("f_pos"))
+    hits = hits.select("doc_id", "doc_hash", (F.col("lo") + F.col("j1")).alias("lo"), (F.col("lo") + F.col("j2")).alias("hi"), own.alias("own"), F.col("f_id").alias("keep_doc_id"), "component_id")
+    todo = hits.groupBy("doc_id", "doc_hash").agg(F.collect_set(F.struct("lo", "hi", "own", "keep_doc_id", "component_id")).alias("runs"))
+    out = stored(spans(_with_texts(docs, todo, "runs"), min_words).distinct(), "verbatim")
+    dropped(wanted, runs)
+    return out
 
 
 def _covers(found: DataFrame) -> DataFrame:
@@ -338,20 +511,20 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     occurs earlier, else 0), keep_doc_id (of the first occurrence), component_id.
     A whole line has fewer than ``min_words`` words if only its run has as many.
     """
-    exact = stored(verbatim(df, doc_id, text, min_words), "verbatim")
-    paras = stored(paragraphs(df, doc_id, text), "paragraphs", compression="zstd")
-    unique = paras.where(F.size("bands") > 0).groupBy("h").agg(F.first("bands").alias("bands"), F.first(F.struct("doc_hash", "line")).alias("at"))
-    unique = stored(unique, "paragraph-classes", compression="zstd")
-    buckets = stored(colliding(unique.select("h", "bands")), "paragraph-buckets")
-    wanted = unique.select("h", "at").join(buckets.select(F.col("h").alias("g")).distinct(), F.col("h") == F.col("g"), "left_semi")
-    wanted = wanted.select("h", F.col("at.doc_hash").alias("of"), F.col("at.line").alias("line"))
-    source = df.select(F.xxhash64(f"`{text}`").alias("doc_hash"), F.col(f"`{text}`").alias("t"))
-    texts = source.join(wanted, F.col("doc_hash") == F.col("of")).select("h", F.element_at(F.split("t", "\n"), F.col("line").cast("int") + 1).alias("t"))
-    texts = stored(texts.groupBy("h").agg(F.max("t").alias("t")), "paragraph-texts")
-    found = components(verified(buckets.join(texts.withColumnRenamed("h", "g"), F.col("h") == F.col("g"))))
-    found = checkpointed(found)
+    exact = verbatim(df, doc_id, text, min_words)
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("doc_hash"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    paras = stored(paragraphs(docs), "paragraphs", compression="zstd")
+    unique = paras.where(F.size("bands") > 0).groupBy("h").agg(F.first("bands").alias("bands"))
+    buckets = stored(colliding(unique), "paragraph-buckets")
+    need = buckets.select(F.col("h").alias("g")).distinct()
+    at = paras.join(need, F.col("h") == F.col("g")).groupBy("h").agg(F.min(F.struct("doc_id", "doc_hash", "line")).alias("at"))
+    todo = at.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.doc_hash").alias("doc_hash")).agg(F.collect_list(F.struct("h", F.col("at.line").alias("line"))).alias("todo"))
+    texts = stored(line_texts(_with_texts(docs, todo, "todo")), "paragraph-texts")
+    found = checkpointed(components(verified(buckets, texts)))
+    dropped(buckets, texts)
     lines = paras.drop("bands").join(found, F.col("h") == F.col("node"), "left").select("*", F.coalesce("component", "h").alias("class"), F.col("component").isNotNull().alias("near")).drop("node", "component")
     lines = stored(lines, "paragraph-lines")
+    dropped(paras)
     first = F.min(F.struct("doc_id", "doc_hash", "nth"))
     repeated = lines.groupBy("class").agg(first.alias("first"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
     repeated = checkpointed(repeated.select(F.col("class").alias("c"), "first"))
@@ -370,14 +543,16 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
 
 def without(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the passages that occur earlier; passages may overlap; doc_id must be unique."""
-    cut = found.where("removed_lines = n_lines").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    joined = df.join(cut, df[doc_id] == F.col("_id"), "left")
+    cut = found.where("removed_lines = n_lines").groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = rows.join(cut, F.col("row")[doc_id] == F.col("of"), "left").select("row", F.col("row")[text].alias("t"), "cut")
     blank = F.lit(f"[{BLANKS}]+$")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    before = lambda acc, c: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int")))
+    before = lambda acc, c: F.concat(acc["out"], F.substring(F.col("t"), (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int")))
     # a cut that leaves nothing of its line takes the line's end too
-    whole = lambda acc, c: F.rlike(before(acc, c), F.lit(r"(^|\n)\z")) & (F.substring(F.col(text), (c["end"] + 1).cast("int"), F.lit(1)) == "\n")
+    whole = lambda acc, c: F.rlike(before(acc, c), F.lit(r"(^|\n)\z")) & (F.substring(F.col("t"), (c["end"] + 1).cast("int"), F.lit(1)) == "\n")
     step = lambda acc, c: F.struct(before(acc, c).alias("out"), F.greatest(acc["at"], c["end"] + whole(acc, c).cast("long")).alias("at"))
-    end = lambda acc: F.regexp_replace(F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))), blank, F.lit(""))
-    new = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.aggregate("_cut", begin, step, end))
-    return joined.withColumn(text, new).drop("_id", "_cut")
+    end = lambda acc: F.regexp_replace(F.concat(acc["out"], F.substring(F.col("t"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))), blank, F.lit(""))
+    new = F.when(F.col("cut").isNull(), F.col("t")).otherwise(F.aggregate("cut", begin, step, end))
+    rows = rows.select("row", new.alias("new"))
+    return rows.select(*[(F.col("new") if c == text else F.col("row")[c]).alias(c) for c in df.columns])

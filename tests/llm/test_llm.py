@@ -304,6 +304,73 @@ def test_passages_hold_every_shared_window(real):
     assert n > 100
 
 
+def test_passages_mid_line_recall(spark):
+    """Passages of 50 to 90 words planted at random places of random lines: every copy is found at its place."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    planted = [words(rng.randint(50, 90)) for _ in range(40)]
+    rows, at = [], []
+    for i in range(160):
+        p = planted[i % 40]
+        head, tail = " ".join([words(rng.randint(0, 200)), *["\n"] * (i % 3 == 0)]), words(rng.randint(0, 200))
+        rows.append((i, f"{head} {p} {tail}"))
+        at.append((i, len(head) + 1, len(head) + 1 + len(p), i % 40))
+    found = {(r.doc_id, r.start, r.end): r for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((i, a, b) in found for i, a, b, _ in at) == len(at) == len(found)
+    assert all(found[i, a, b].keep_doc_id == k and (found[i, a, b].removed_lines > 0) == (i != k) for i, a, b, k in at)
+
+
+def test_large_keys_lose_no_link(spark, monkeypatch):
+    """Near copies of one line by the hundred, chains and strangers under one key, against all pairs."""
+    monkeypatch.setattr(substring_dedup, "PART", 8)
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    base, lines = words(60), []
+    for _ in range(60):
+        w = list(base)
+        w[rng.randrange(60)] = words(1)[0]
+        lines.append(w)
+    chain = words(60)
+    for k in range(20):  # each is like its neighbours only
+        chain = chain[3:] + words(3)
+        lines.append(list(chain))
+    lines += [words(60) for _ in range(20)]
+    lines += [[*x[:45], *words(15)] for x in lines[:10]]
+    texts = sorted({" ".join(x) for x in lines})
+    sets = [substring_dedup.shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if substring_dedup.similar(sets[i], sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    keyed = spark.createDataFrame([(7, h) for h in range(len(texts))], "key long, h long")
+    links = substring_dedup.verified(keyed, spark.createDataFrame(list(enumerate(texts)), "h long, t string"))
+    got = {r.node: r.component for r in components(links).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == {i: find(i) for i in range(len(texts))} and len(set(map(find, range(len(texts))))) > 20
+
+
+def test_passages_edges(spark, docs, empty, monkeypatch):
+    found = substring_dedup.passages(docs)
+    assert found.count() == 0  # only exact copies of 24 words
+    assert substring_dedup.passages(empty).count() == 0
+    wide = spark.createDataFrame([(1, " ".join(map(str, range(60))), 5, "x"), (2, " ".join(map(str, range(60))), 6, "y"), (3, None, None, None), (4, "word " * 9000, 1, "z"), (5, "z" * 300_000, 1, "z")], "doc_id long, text string, start long, cut string")
+    monkeypatch.setattr(substring_dedup, "BYTES_AT_ONCE", 100)
+    found = substring_dedup.passages(wide)
+    assert {(r.doc_id, r.start, r.n_words, r.removed_lines) for r in found.collect()} == {(1, 0, 60, 0), (2, 0, 60, 1)}
+    left = substring_dedup.without(wide, found)
+    assert left.columns == wide.columns and {r.doc_id: r.text for r in left.where("doc_id < 4").collect()} == {1: wide.first().text, 2: "", 3: None}
+    alike = "\n".join(thue_morse(1024))
+    pair = spark.createDataFrame([(k, " ".join([t] * 60)) for k, t in enumerate(alike.split("\n"))], "doc_id long, text string")
+    assert substring_dedup.passages(pair).count() == 0
+
+
 # --- 5 SimHash
 
 
