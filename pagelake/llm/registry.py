@@ -78,8 +78,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.orderBy("virtual_finish", "id").select(
+    found = mixing.plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
+    return found.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
@@ -165,7 +165,7 @@ FROM found
     "op8_mixing": rf"""
 WITH d AS (
     SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
-        ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+        ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '') || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
     FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size,
@@ -183,13 +183,16 @@ WITH d AS (
             ELSE weight * max(rest) FILTER (most > weight * rest) OVER () END AS target
     FROM r
 ), o AS (
-    SELECT d.*, source_size, target,
+    SELECT d.*, source_size, target, weight, row_number() OVER () AS rid,
         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS sent
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+    SELECT rid, size, sum(size) OVER (ORDER BY (2 * (sent + epoch * source_size) - size)::DOUBLE / weight, h, doc_id, size, epoch ROWS UNBOUNDED PRECEDING) AS upto
+    FROM o, (VALUES (0), (1)) e(epoch) WHERE size > 0
+), k AS (
+    SELECT rid, count(*) AS copies FROM c WHERE 2.0::DOUBLE * upto - size <= 2.0::DOUBLE * (SELECT sum(size) * 1.5::DOUBLE FROM d) GROUP BY rid
 )
-SELECT doc_id, size, source_size, target,
-    (size * ((2 * sent - size <= 2 * target)::BIGINT + (2 * (sent + source_size) - size <= 2 * target)::BIGINT))::BIGINT AS taken
-FROM o
+SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM o LEFT JOIN k USING (rid)
 """,
     "op9_exact_dedup": """
 SELECT DISTINCT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -591,6 +591,52 @@ def test_shards(spark, docs, empty, tmp_path):
 # --- 8 mixing
 
 
+def plain_mix(docs):
+    """How often each document is taken, from {doc_id: (source, size, text)}: all copies in one sorted list."""
+    weight = {s: [3, 1, 2][k % 3] for k, s in enumerate(sorted({d[0] for d in docs.values()}))}
+    place = lambda i: int(hashlib.md5(f"mix{i}{hashlib.md5((docs[i][2] or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+    size = collections.Counter()
+    for s, n, _ in docs.values():
+        size[s] += n
+    copies = []
+    for s in size:
+        sent = 0
+        for h, i in sorted((place(i), i) for i in docs if docs[i][0] == s):
+            sent += docs[i][1]
+            copies += [((2 * (sent + e * size[s]) - docs[i][1]) / weight[s], h, i, e) for e in (0, 1) if docs[i][1]]
+    out, upto = collections.Counter(), 0
+    for _, _, i, _ in sorted(copies):
+        upto += docs[i][1]
+        if 2 * upto - docs[i][1] <= 3 * sum(size.values()):
+            out[i] += 1
+    return out
+
+
+def test_mix_against_brute_force(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    want = plain_mix({i: (r.source, len((r.text or "").split()), r.text) for i, r in docs.items()})
+    got = {r.doc_id: r.taken // max(1, r["size"]) for r in registry.op8_mixing(spark, "/root/testdata/sf0.01").collect()}
+    assert {i: n for i, n in got.items() if n} == dict(want)
+
+
+def test_mix_order_and_repeats(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, "w " * rng.randint(0, 9), f"s{i % 4}" if i % 7 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    runs = [[tuple(r) for r in mixing.mixed(df.repartition(n)).collect()] for n in (2, 7)]
+    words = lambda r: len(r[1].split())
+    key = lambda rs: [(r[0], r[1]) for r in rs if r[2]]
+    assert sorted(map(str, (r[:3] for r in runs[0]))) == sorted(map(str, (r[:3] for r in runs[1]))) and len(key(runs[0])) == len(key(runs[1]))
+    assert abs(sum(map(words, runs[0])) - 1.5 * sum(map(words, rows))) <= 5
+    # halfway through, every source that has not run dry has had its weight's share
+    half = collections.Counter()
+    for r in runs[0][: len(runs[0]) // 4]:
+        half[r[2]] += words(r)
+    per_weight = [half[s] / w for s, w in zip(["s0", "s1", "s2", "s3", None], [3, 1, 2, 3, 1], strict=True)]
+    assert max(per_weight) - min(per_weight) <= 12
+    assert mixing.mixed(df.where("size < 0")).count() == 0 and mixing.mixed(df.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
 def test_mix(spark, docs, empty):
     rows = registry.op8_mixing(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id").collect()
     total = sum(r["size"] for r in rows)
@@ -695,22 +741,7 @@ def test_pipeline_against_brute_force(spark, real, model):
                     comp[i], changed = comp[j], True
     docs = {i: r for i, r in docs.items() if comp[i] == i}
     words = {i: len(r.text.split()) for i, r in docs.items()}
-    order = lambda i: (int(hashlib.md5(f"mix{i}".encode()).hexdigest()[:15], 16), i)
-    size = collections.Counter()
-    for i, r in docs.items():
-        size[r.source] += words[i]
-    weight = {s: [3, 1, 2][k % 3] for k, s in enumerate(sorted(size))}
-    lo, hi = 0.0, 2.0 * sum(size.values())
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(min(weight[s] * mid, 2 * size[s]) for s in size) < 1.5 * sum(size.values()) else (lo, mid)
-    want = collections.Counter()
-    for s in size:
-        sent = 0
-        for i in sorted((i for i in docs if docs[i].source == s), key=order):
-            sent += words[i]
-            for extra in (0, size[s]):
-                want[i] += 2 * (sent + extra) - words[i] <= 2 * min(weight[s] * hi, 2 * size[s]) + 1e-6
+    want = plain_mix({i: (r.source, words[i], r.text) for i, r in docs.items()})
     assert collections.Counter(r.doc_id for r in got) == +want
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     assert all(r.ids == sp.encode(docs[r.doc_id].text) and r.round_trip for r in got)
