@@ -115,27 +115,40 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _R = quality_rules.LineRules()
-_LINE = f"""
-    length(x) - length(translate(x, '#*$%&<>', ''))
-        <= (length(x) - length(translate(x, {_BLANKS}, '')) + 1) * {_R.max_symbols_per_word}::DOUBLE + 2
-    AND (length(x) - length(replace(x, '!!', ''))) / 2.0::DOUBLE
-        <= (length(x) - length(translate(x, {_BLANKS}, '')) + 1) * {_R.max_shouts_per_word}::DOUBLE + 1
-    AND (length(x) - length(translate(x, '|', '')) < 2
-        OR length(x) - length(translate(x, '|', ''))
-            <= (length(x) - length(translate(x, {_BLANKS}, '')) + 1) * {_R.max_bars_per_word}::DOUBLE)
-    AND (length(x) - length(translate(x, {_BLANKS}, '')) + 1 > {_R.boilerplate_max_words}
-        OR NOT regexp_matches(x, '{quality_rules.BOILERPLATE}'))
-"""
+_Q = quality_rules
+
+
+def _n(pattern: str) -> str:
+    return f"len(regexp_extract_all(m.x, '{pattern}'))"
+
+
+_BOILERPLATE = _Q.BOILERPLATE.replace("'", "''")
+_LINE = f"""m.n = 0 OR NOT (
+    {_n(_Q.ODD)} > m.n * {_R.max_symbols_per_word}::DOUBLE + 2
+    OR (length(m.x) - length(replace(m.x, '!!', ''))) / 2.0::DOUBLE > m.n * {_R.max_shouts_per_word}::DOUBLE + 1
+    OR (m.n >= {_R.unmarked_words} AND punctuated AND NOT regexp_matches(m.x, '{_Q.MARKS}'))
+    OR (m.n >= {_R.capital_words} AND NOT regexp_matches(m.x, '{_Q.SMALL}') AND regexp_matches(m.x, '{_Q.CAPITALS}'))
+    OR ({_n(_Q.SEPARATORS)} >= 2 AND {_n(_Q.SEPARATORS)} > m.n * {_R.max_bars_per_word}::DOUBLE)
+    OR ({_n(_Q.LINKS)} > 0 AND m.n <= {_n(_Q.LINKS)} * {_R.link_words})
+    OR (m.n <= {_R.boilerplate_max_words} AND regexp_matches(m.x, '{_BOILERPLATE}'))
+    OR (m.n >= 3 AND {_n('[0-9]')} > m.c * {_R.max_digit_share}::DOUBLE)
+    OR (m.c > m.n * {_R.max_word_chars} AND NOT regexp_matches(m.x, '[^\\x00-\\x7F]')))"""
+_ENTRY = f"m.n BETWEEN 1 AND {_R.menu_words} AND NOT regexp_matches(m.x, '{_Q.MARKS}')"
 
 ORACLES = {
     "op2_quality_rules": rf"""
 WITH base AS (
     SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS} AS words FROM documents
 ), lines AS (
-    SELECT rid, string_split(t, chr(10)) AS lines,
-        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS worded,
-        list_filter(string_split(t, chr(10)), lambda x: {_LINE}) AS lefts
-    FROM base
+    SELECT rid, regexp_matches(t, '{_Q.MARKS}') AS punctuated, list_transform(string_split(t, chr(10)), lambda x: {{x: x, n: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')),
+        c: length(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ''))}}) AS lines FROM base
+), marked AS (
+    SELECT rid, lines, list_transform(list_filter(lines, lambda m: m.n > 0), lambda m: m.x) AS worded,
+        list_transform(lines, lambda m: {_ENTRY}) AS menu, list_transform(lines, lambda m: {_LINE}) AS good FROM lines
+), judged AS (
+    SELECT rid, lines, worded, list_filter(lines, lambda m, i: good[i] AND NOT (menu[i] AND (
+        (coalesce(menu[nullif(i - 1, 0)], false) AND (coalesce(CASE WHEN i > 2 THEN menu[i - 2] END, false) OR coalesce(menu[i + 1], false)))
+        OR (coalesce(menu[i + 1], false) AND coalesce(menu[i + 2], false))))) AS lefts FROM marked
 ), windows AS (
     SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS win
     FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM base WHERE len(words) >= 8)
@@ -151,9 +164,9 @@ WITH base AS (
         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
         (len(lines) - len(lefts))::BIGINT AS n_removed_lines,
         CASE WHEN length(translate(t, {_BLANKS}, '')) > 0 THEN
-            1 - length(translate(array_to_string(lefts, chr(10)), {_BLANKS}, ''))::DOUBLE / length(translate(t, {_BLANKS}, ''))
+            1 - coalesce(list_sum(list_transform(lefts, lambda m: m.c)), 0)::DOUBLE / length(translate(t, {_BLANKS}, ''))
             ELSE 0.0 END::DOUBLE AS lost_share
-    FROM base JOIN lines USING (rid) LEFT JOIN covered USING (rid)
+    FROM base JOIN judged USING (rid) LEFT JOIN covered USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_percent} * n_words AS base_failed,

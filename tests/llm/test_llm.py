@@ -119,9 +119,29 @@ def test_rules_edges(docs, empty):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {4, 5, 6, None}
 
 
-@pytest.mark.parametrize("line, ok", [("A plain line of words.", True), ("Home | News | Sport | About us", False), ("wow!! buy!! now!! here!!", False), ("a### b$$$ c%%% d&&&", False), ("We use cookies policy: accept all cookies", False), ("", True)])
+@pytest.mark.parametrize("line, ok", [
+    ("A plain line of words.", True), ("Home | News | Sport | About us", False), ("wow!! buy!! now!! here!!", False), ("a### b$$$ c%%% d&&&", False), ("We use cookies policy: accept all cookies", False), ("", True),
+    ("one two three four five six seven eight nine ten eleven twelve", False), ("Eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf.", True), ("THIS IS ALL IN CAPITALS AND NOT VERY NICE.", False),
+    ("12 345 67 89", False), ("In 1984 we met 12 times.", True), ("see www.example.org", False), ("The page at www.example.org tells the story of the town.", True), ("A heading", True), ("x" * 90, False), ("日本語の文はここで終わります" * 8, True),
+    ("Datenschutzerklärung | Impressum", False), ("Ce site utilise des cookies pour vous servir.", False), ("Política de privacidad", False), ("Lire la suite", False), ("Start » Shop » Schuhe » Damen", False),
+])
 def test_line_rules(spark, line, ok):
-    assert spark.range(1).select(quality_rules.line_passes(F.lit(line), quality_rules.LineRules()).alias("v")).first().v is ok
+    assert spark.range(1).select(quality_rules.line_passes(quality_rules._measured(F.lit(line)), quality_rules.LineRules()).alias("v")).first().v is ok
+
+
+def test_menus(spark):
+    text = "Home\nAbout us\nContact\nNews\nThis is the body of the page, which goes on.\nA heading\nIt ends here, after some more words.\nOne\nTwo\nDone."
+    r = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert r.cleaned_text == "\n".join(text.split("\n")[4:]) and r.n_removed_lines == 4
+
+
+def test_rules_tell_junk_from_prose(spark):
+    """Recall of junk and of prose by the labels, which the rules have not seen."""
+    sf = "/root/testdata/sf0.1"
+    rows = registry.op2_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    junk, prose = ([r for r in rows if r.quality == q] for q in (0, 1))
+    assert sum(not r.kept for r in junk) >= 0.97 * len(junk)
+    assert sum(r.kept for r in prose) >= 0.95 * len(prose) and all(r.kept or r.base_failed for r in prose)
 
 
 def test_repeat_words_brute(spark):
