@@ -66,7 +66,7 @@ MIN_WORDS = 50
 PART = 256
 RUN = 20
 #: Bytes of text that are looked at together; a longer text is looked at alone.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 20
 UNIT_BASE, WINDOW_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
@@ -335,19 +335,22 @@ def _rolling(w: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 def _units(words: dict[str, np.ndarray], size: int) -> dict[str, np.ndarray]:
-    """Runs of windows of ``size`` words with one anchor: first window, number of windows, anchor a, hash h of all the run's words."""
+    """Runs of windows of ``size`` words with one anchor: first window, number of windows, anchor a, hash h of all the run's words.
+
+    A word that goes on and on has one anchor throughout; its run is cut at the length that others can't exceed.
+    """
     doc, run = words["doc"], min(RUN, size)
     at = np.flatnonzero(doc[size - 1 :] == doc[: max(0, len(doc) - size + 1)])
     if not len(at):
         return {}
     least, span, wanted = _rolling(words["w"], run, 0x9E3779B97F4A7C15), 1, size - run + 1
-    where = np.arange(len(least))
     while span < wanted:
         step = min(span, wanted - span)
-        where = np.where(least[step:] < least[:-step], where[step:], where[:-step])
         least, span = np.minimum(least[:-step], least[step:]), span + step
-    least, where, of = least[at], where[at], doc[at]
-    first = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (of[1:] != of[:-1])))
+    least, of = least[at], doc[at]
+    new = np.append(True, (least[1:] != least[:-1]) | (of[1:] != of[:-1]))
+    new |= ragged(np.zeros(int(new.sum()), np.int64), np.diff(np.append(np.flatnonzero(new), len(at)))) % wanted == 0
+    first = np.flatnonzero(new)
     n, lo = np.diff(np.append(first, len(at))), at[first]
     sums = np.append(np.uint64(0), np.cumsum(words["w"] * _powers(UNIT_BASE, len(doc))))
     whole = (sums[lo + n + size - 1] - sums[lo]) * _powers(pow(UNIT_BASE, -1, 1 << 64), len(doc))[lo]
@@ -448,6 +451,7 @@ def shared_runs(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     kinds = wanted.groupBy("a", "h").agg(F.min(F.struct("doc_id", "doc_hash", "lo")).alias("first"), F.max("doc_id").alias("top"), F.first("n").alias("n"))
     kinds = stored(kinds, "unit-kinds", compression="zstd")
     several = kinds.groupBy(F.col("a").alias("several")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("several")
+    several = checkpointed(several)
     kinds = kinds.join(several, F.col("a") == F.col("several"), "left")
     whole = kinds.where("several IS NULL AND first.doc_id <> top").select("a", "h", F.lit(0).alias("j1"), (F.col("n") - 1).alias("j2"), F.col("first.doc_id").alias("f_id"), F.col("first.doc_hash").alias("f_hash"), F.col("first.lo").alias("f_pos"))
     todo = kinds.where("several IS NOT NULL").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_hash").alias("doc_hash")).agg(F.collect_list(F.struct("a", "h", F.col("first.lo").alias("lo"), "n", "top")).alias("todo"))
@@ -474,6 +478,7 @@ def _with_components(runs: DataFrame) -> DataFrame:
     start = F.max(F.when(F.col("new"), F.col("f_pos"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
     islands = islands.select(F.col("f_id").alias("i_id"), F.col("f_hash").alias("i_hash"), F.col("f_pos").alias("i_pos"), F.col("f_end").alias("i_end"), F.xxhash64("f_hash", "f_id", start).alias("component_id"))
     same = (F.col("f_id") == F.col("i_id")) & (F.col("f_hash") == F.col("i_hash")) & (F.col("f_pos") == F.col("i_pos")) & (F.col("f_pos") + F.col("j2") - F.col("j1") == F.col("i_end"))
+    islands = checkpointed(islands)
     return runs.join(islands, same).select(F.col("a").alias("ra"), F.col("h").alias("rh"), "j1", "j2", "f_id", "f_hash", "f_pos", "component_id")
 
 
@@ -482,8 +487,9 @@ def verbatim(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("doc_hash"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = stored(units(docs, min_words), "units", compression="zstd")
     shared = found.groupBy(F.col("a").alias("b")).agg(F.min("doc_id").alias("lo_id"), F.max("doc_id").alias("hi_id")).where("lo_id <> hi_id").select("b")
+    shared = stored(shared, "anchors-shared", compression="zstd")  # read from a table, so that the join can be split where an anchor is hot
     wanted = stored(found.join(shared, F.col("a") == F.col("b")).drop("b"), "units-shared", compression="zstd")
-    dropped(found)
+    dropped(found, shared)
     runs = stored(_with_components(shared_runs(docs, wanted, min_words)), "unit-components", compression="zstd")
     hits = wanted.join(runs, (F.col("a") == F.col("ra")) & (F.col("h") == F.col("rh")))
     own = (F.col("doc_id") == F.col("f_id")) & (F.col("doc_hash") == F.col("f_hash")) & (F.col("lo") + F.col("j1") == F.col("f_pos"))
@@ -516,7 +522,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     paras = stored(paragraphs(docs), "paragraphs", compression="zstd")
     unique = paras.where(F.size("bands") > 0).groupBy("h").agg(F.first("bands").alias("bands"))
     buckets = stored(colliding(unique), "paragraph-buckets")
-    need = buckets.select(F.col("h").alias("g")).distinct()
+    need = checkpointed(buckets.select(F.col("h").alias("g")).distinct())
     at = paras.join(need, F.col("h") == F.col("g")).groupBy("h").agg(F.min(F.struct("doc_id", "doc_hash", "line")).alias("at"))
     todo = at.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.doc_hash").alias("doc_hash")).agg(F.collect_list(F.struct("h", F.col("at.line").alias("line"))).alias("todo"))
     texts = stored(line_texts(_with_texts(docs, todo, "todo")), "paragraph-texts")
