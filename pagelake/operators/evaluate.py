@@ -75,8 +75,8 @@ def describe(df: DataFrame, value: str, keys: list[str] | None = None, digits: i
 
 def extreme_flags(df: DataFrame, columns: list[str], smallest: bool = True) -> DataFrame:
     """For tables: <column>_bold where the value is the column's extreme."""
-    whole = Window.partitionBy()
-    return df.select("*", *[(F.col(c) == (F.min if smallest else F.max)(c).over(whole)).alias(f"{c}_bold") for c in columns])
+    best = df.agg(*[(F.min if smallest else F.max)(c).alias(f"_{c}") for c in columns])  # one row
+    return df.crossJoin(F.broadcast(best)).select(*df.columns, *[(F.col(c) == F.col(f"_{c}")).alias(f"{c}_bold") for c in columns])
 
 
 def latex(df: DataFrame, columns: list[str], smallest: bool = True) -> str:
