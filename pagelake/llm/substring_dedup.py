@@ -523,8 +523,9 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     unique = paras.where(F.size("bands") > 0).groupBy("h").agg(F.first("bands").alias("bands"))
     buckets = stored(colliding(unique), "paragraph-buckets")
     need = checkpointed(buckets.select(F.col("h").alias("g")).distinct())
-    at = paras.join(need, F.col("h") == F.col("g")).groupBy("h").agg(F.min(F.struct("doc_id", "doc_hash", "line")).alias("at"))
-    todo = at.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.doc_hash").alias("doc_hash")).agg(F.collect_list(F.struct("h", F.col("at.line").alias("line"))).alias("todo"))
+    # grouped before the join, so that a line that is everywhere is collapsed where it is read; all its rows hold the same text
+    at = paras.where(F.size("bands") > 0).groupBy("h").agg(*[F.first(c).alias(c) for c in ("doc_id", "doc_hash", "line")])
+    todo = at.join(need, F.col("h") == F.col("g")).groupBy("doc_id", "doc_hash").agg(F.collect_list(F.struct("h", "line")).alias("todo"))
     texts = stored(line_texts(_with_texts(docs, todo, "todo")), "paragraph-texts")
     found = checkpointed(components(verified(buckets, texts)))
     dropped(buckets, texts)
