@@ -57,3 +57,47 @@ def stub_classifier(classes: int, text: str = "content", key: str = "bbox_uid")
 def stub_transcriber(batch: pd.DataFrame) -> pd.DataFrame:
     """A stand-in for an image-to-text model: names the request instead of reading it."""
     return pd.DataFrame({"custom_id": batch["custom_id"], "content": "transcript of " + batch["custom_id"]})
+
+
+Renderer = Callable[[bytes], list[bytes]]
+ImageStep = Callable[[bytes, dict], bytes]
+
+
+def rendered_pages(files: DataFrame, render: Renderer) -> DataFrame:
+    """(name, page, image) of every page of document files, from (path, content) rows; names are <file>_page_<n>."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                pages = render(bytes(content))
+                yield pd.DataFrame({"name": [f"{stem}_page_{k}" for k in range(len(pages))], "page": range(len(pages)), "image": pages})
+
+    return files.select("path", "content").mapInPandas(run, "name string, page int, image binary")
+
+
+def stub_renderer(content: bytes) -> list[bytes]:
+    """A stand-in for a page renderer: the parts between form feeds, not pictures."""
+    return content.split(b"\x0c")
+
+
+def image_steps(plan: DataFrame, steps: list[ImageStep], image: str = "image") -> DataFrame:
+    """Apply crop, deskew, pad and encode steps, given from outside, to each row's image; a step sees the row as a dictionary."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = f.to_dict("records")
+            out = []
+            for r in rows:
+                data = bytes(r.pop(image))
+                for step in steps:
+                    data = step(data, r)
+                out.append(data)
+            yield f.assign(**{image: out})
+
+    return plan.mapInPandas(run, plan.schema)
+
+
+def stub_step(data: bytes, row: dict) -> bytes:
+    """A stand-in for an image operation: leaves the image as it is."""
+    return data

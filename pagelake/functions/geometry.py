@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,12 @@ def split_plan(width: Column, height: Column, max_ratio: float = 1.5, overlap: f
 def pixels_to_dpi(pixels: Column, points: Column) -> Column:
     """Dots per inch of an embedded image on a page measured in points, two decimals."""
     return F.bround(F.try_divide(pixels, points) * 72, 2)
+
+
+def image_metadata(df: DataFrame) -> DataFrame:
+    """Add dots per inch and aspect ratios to rows of embedded images: pdf_width, pdf_height (pixels), page_width_pt, page_height_pt."""
+    ratio = lambda a, b: F.bround(F.try_divide(F.col(a), F.col(b)), 3)
+    return df.withColumns({
+        "calculated_width_dpi": pixels_to_dpi(F.col("pdf_width"), F.col("page_width_pt")), "calculated_height_dpi": pixels_to_dpi(F.col("pdf_height"), F.col("page_height_pt")),
+        "image_aspect_ratio": ratio("pdf_width", "pdf_height"), "page_aspect_ratio": ratio("page_width_pt", "page_height_pt"), "image_format": F.lit("assume png"),
+    })

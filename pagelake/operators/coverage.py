@@ -1,9 +1,10 @@
 """Exact coverage and overlap of boxes on a page, without a raster.
 
-The boxes' distinct edges cut a page's print area into cells; each cell counts
-the text and figure boxes that cover it, and areas of cells are summed. Edges of
-a page are as many as its boxes, so the cells join by page_id with a residual
-range predicate.
+A page's boxes are gathered once. Their distinct left and right edges cut it into
+slabs; in each slab the boxes that cross it are swept from top to bottom, with
+running counts of text and figure boxes. Slabs and sweeps stay where the page
+is, so there is one shuffle, and rows grow with the square of a page's boxes at
+most.
 """
 
 from __future__ import annotations
@@ -14,22 +15,30 @@ from pyspark.sql import functions as F
 
 def page_coverage(df: DataFrame) -> DataFrame:
     """One row per page from boxes with print_* columns."""
-    base = df.select("page_id", (F.col("class") == "figure").alias("fig"), "print_width", "print_height", "print_area", "print_x1", "print_y1", "x1", "y1", "x2", "y2")
     clip = lambda c, o, m: F.least(F.greatest((F.col(c) - F.col(o)).cast("int"), F.lit(0)), F.col(m))
-    boxes = base.select("page_id", "fig", clip("x1", "print_x1", "print_width").alias("a"), clip("x2", "print_x1", "print_width").alias("b"), clip("y1", "print_y1", "print_height").alias("c"), clip("y2", "print_y1", "print_height").alias("d"))
-    spans = lambda lo, hi, name: boxes.select("page_id", F.explode(F.array(lo, hi)).alias("p")).distinct().withColumn("q", F.lead("p").over(Window.partitionBy("page_id").orderBy("p"))).where("q IS NOT NULL").select("page_id", F.col("p").alias(name + "0"), F.col("q").alias(name + "1"))
-    cells = spans("a", "b", "x").join(spans("c", "d", "y"), "page_id")
-    hit = cells.join(boxes, "page_id").where("a <= x0 AND x1 <= b AND c <= y0 AND y1 <= d")
-    cell = hit.groupBy("page_id", "x0", "x1", "y0", "y1").agg(F.sum((~F.col("fig")).cast("int")).alias("t"), F.sum(F.col("fig").cast("int")).alias("f"))
-    area = (F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0"))
-    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, area)), F.lit(0)).cast("long").alias(name)
+    box = F.struct(clip("x1", "print_x1", "print_width").alias("a"), clip("x2", "print_x1", "print_width").alias("b"), clip("y1", "print_y1", "print_height").alias("c"), clip("y2", "print_y1", "print_height").alias("d"), F.coalesce(F.col("class") == "figure", F.lit(False)).alias("fig"))
+    figures = [F.max("print_height").alias("print_height"), F.max("print_width").alias("print_width"), F.min("print_x1").alias("x_min"), F.min("print_y1").alias("y_min"), F.max("print_area").alias("maximum_print_area")]
+    pages = df.groupBy("page_id").agg(F.collect_list(box).alias("boxes"), *figures)
+    names = [c for c in pages.columns if c not in ("page_id", "boxes")]
+    pages = pages.select("page_id", F.struct(*names).alias("page"), "boxes", F.array_sort(F.array_distinct(F.flatten(F.transform("boxes", lambda x: F.array(x["a"], x["b"]))))).alias("xs"))
+    n = F.greatest(F.size("xs") - 1, F.lit(0))
+    slab = F.zip_with(F.slice("xs", F.lit(1), n), F.slice("xs", F.lit(2), n), lambda x0, x1: F.struct(x0.alias("x0"), x1.alias("x1")))
+    slabs = pages.select("page_id", "page", "boxes", F.explode_outer(slab).alias("s")).select("page_id", "page", "boxes", "s.x0", "s.x1")
+    crossing = F.filter("boxes", lambda x: (x["a"] <= F.col("x0")) & (F.col("x1") <= x["b"]) & (x["c"] < x["d"]))
+    edges = F.flatten(F.transform(crossing, lambda x: F.array(F.struct(x["c"].alias("y"), F.lit(1).alias("n"), x["fig"].alias("fig")), F.struct(x["d"].alias("y"), F.lit(-1).alias("n"), x["fig"].alias("fig")))))
+    swept = slabs.select("page_id", "page", "x0", "x1", F.explode_outer(edges).alias("e")).select("page_id", "page", "x0", "x1", "e.*")
+    down = Window.partitionBy("page_id", "x0").orderBy("y")
+    swept = swept.select(
+        "page_id", "page", F.sum(F.when(~F.col("fig"), F.col("n")).otherwise(0)).over(down).alias("t"), F.sum(F.when(F.col("fig"), F.col("n")).otherwise(0)).over(down).alias("f"),
+        ((F.col("x1") - F.col("x0")).cast("long") * (F.lead("y").over(down) - F.col("y"))).alias("area"),
+    )
+    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("area"))), F.lit(0)).cast("long").alias(name)
     t, f = F.col("t"), F.col("f")
-    sums = cell.groupBy("page_id").agg(
-        total(t > 0, "text_coverage_pixels"), total(t > 1, "text_overlap_pixels"), total((t > 0) & (f > 0), "text_image_overlap"),
+    sums = swept.groupBy("page_id").agg(
+        F.first("page").alias("page"), total(t > 0, "text_coverage_pixels"), total(t > 1, "text_overlap_pixels"), total((t > 0) & (f > 0), "text_image_overlap"),
         total(t + f > 0, "total_covered_pixels"), total(t + f > 1, "total_overlap"),
     )
-    pages = base.groupBy("page_id").agg(F.max("print_height").alias("print_height"), F.max("print_width").alias("print_width"), F.min("print_x1").alias("x_min"), F.min("print_y1").alias("y_min"), F.max("print_area").alias("maximum_print_area"))
-    out = pages.join(sums, "page_id", "left").na.fill(0)
+    out = sums.select("page_id", *[F.coalesce(f"page.{c}", F.lit(0)).alias(c) for c in names], *sums.columns[2:])
     share = lambda c: F.bround(F.try_divide(F.col(c), F.col("maximum_print_area")), 2)
     return out.withColumns({"perc_print_area_overlap": share("total_overlap"), "perc_print_area_coverage": share("total_covered_pixels")})
 

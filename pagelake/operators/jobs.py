@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
+from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.sources import writers
+
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of ``wanted`` whose key is not in ``done``."""
@@ -40,11 +45,32 @@ def download_status(jobs: DataFrame, log: DataFrame, remote: DataFrame, files: D
     return out.select("issue", "job_id", "target_filename", state.alias("state"), (state == "success").alias("fetch"))
 
 
+def submit_pending(wanted: DataFrame, log_path: str, key: str, submit: Callable[[list[Row]], list[tuple]], at_once: int = 100) -> int:
+    """Submit what the log does not hold yet, ``at_once`` jobs at a time, and append each batch's successes to the log.
+
+    ``submit`` takes rows and gives those that succeeded, as (key, job_id)
+    tuples. A run that breaks off loses one batch at most; the next one goes on
+    from the log. Rows reach the driver batch by batch. Gives the successes.
+    """
+    spark, schema = wanted.sparkSession, f"{key} {wanted.schema[key].dataType.simpleString()}, job_id string"
+    todo = pending(wanted, spark.read.parquet(log_path), key) if writers.exists(spark, log_path) else wanted
+    rows, n = todo.dropDuplicates([key]).toLocalIterator(), 0
+    while batch := list(islice(rows, at_once)):
+        done = submit(batch)
+        if done:
+            spark.createDataFrame(done, schema).coalesce(1).write.mode("append").parquet(log_path)
+        n += len(done)
+    return n
+
+
 @dataclass
 class Stage:
+    """A step of a pipeline. One that makes a table may name where it is kept: if it is there whole, it is read instead."""
+
     name: str
     run: object
     needs: tuple[str, ...] = ()
+    path: str | None = None
 
 
 @dataclass
@@ -53,11 +79,13 @@ class PipelineState:
 
     stages: list[Stage]
     done: dict[str, object] = field(default_factory=dict)
+    spark: SparkSession | None = None
 
     def next(self) -> Stage | None:
         return next((s for s in self.stages if s.name not in self.done and all(n in self.done for n in s.needs)), None)
 
     def resume(self) -> dict[str, object]:
         while (stage := self.next()) is not None:
-            self.done[stage.name] = stage.run(self.done)
+            run = partial(stage.run, self.done)
+            self.done[stage.name] = writers.kept(self.spark, stage.path, run) if stage.path else run()
         return self.done

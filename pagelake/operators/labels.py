@@ -46,6 +46,44 @@ def prompt(text: Column, names: dict[int, str], task: str) -> Column:
     return F.concat(F.lit(f"{task} Choose from these classes: {listed}. Answer as JSON, {{'class': number}}. Text: '''"), text, F.lit("'''"))
 
 
+def _shown(name: str) -> str:
+    """A topic's name as the model is shown it."""
+    words = name.split("_")
+    return name if len(words) == 1 else ", ".join(words[:-1]) + f" and {words[-1]}"
+
+
+def genre_prompt(text: Column) -> Column:
+    """Ask for one genre code of an article, with a worked example."""
+    example = " Example: for '''Sugar rose a penny in Leeds on Monday.''' the answer is {'class': 0}."
+    return F.concat(prompt(text, GENRES, "You sort articles of old newspapers by genre and answer with one code."), F.lit(example))
+
+
+def topic_prompt(text: Column) -> Column:
+    """Ask for one or more topic codes of an article, with a worked example."""
+    names = {k: _shown(v) for k, v in TOPICS.items()}
+    example = " Example: for '''The school at Hull is shut while fever lasts.''' the answer is {'class': [4, 6]}."
+    return F.concat(prompt(text, names, "You sort articles of old newspapers by topic and answer with every code that fits."), F.lit(example))
+
+
+def answers_to_columns(df: DataFrame, names: list[str], answer: str = "content", key: str = "custom_id") -> DataFrame:
+    """One row per answer: key, the named entries of its dictionary (``class`` as class_code), value, raw_value.
+
+    Answers are dictionaries in JSON or with single quotes, fenced or not. What
+    parses but is no dictionary goes to ``value``; what does not parse goes to
+    ``raw_value`` as it is. Entries are text: numbers as written, lists as JSON.
+    """
+    body = F.btrim(F.replace(F.replace(F.col(answer), F.lit("```json\n"), F.lit("")), F.lit("\n```"), F.lit("")), F.lit(" \n\t"))
+    json = F.when(F.contains(body, F.lit('"')), body).otherwise(F.replace(body, F.lit("'"), F.lit('"')))
+    rows = df.select(key, F.col(answer).alias("_raw"), json.alias("_json"))
+    # only an object has keys; [x] is an array of one if and only if x is one value
+    rows = rows.withColumns({"_keys": F.json_object_keys("_json"), "_one": F.coalesce(F.json_array_length(F.concat(F.lit("["), "_json", F.lit("]"))) == 1, F.lit(False))})
+    named = [F.get_json_object("_json", f"$.{n}").alias("class_code" if n == "class" else n) for n in names]
+    return rows.select(
+        key, *named, F.when(F.col("_keys").isNull() & F.col("_one"), F.col("_json")).alias("value"),
+        F.when(F.col("_keys").isNull() & ~F.col("_one"), F.col("_raw")).alias("raw_value"),
+    )
+
+
 def parse_answer(answer: Column) -> Column:
     """Class codes in an answer that may be fenced, quoted either way, a number or a list; [99] where there are none.
 

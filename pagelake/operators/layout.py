@@ -165,34 +165,36 @@ def fill_column_gaps(df: DataFrame) -> DataFrame:
 def merge_within_column(df: DataFrame, width_multiplier: float = 1.5) -> DataFrame:
     """Merge neighbours of a column, in reading order, while the result is not too tall and of one class.
 
-    One ordered fold per column over an array of its boxes; figures, tables and
-    column 0 pass through. All fields but corners and centres are the first box's.
+    One ordered fold per column over its boxes' corners and classes, whose groups
+    then take their first box's other fields; figures, tables and column 0 pass through. All fields but corners and centres are the first box's.
     """
     order = ["reading_order", "box_id"]
-    rest = [c for c in df.columns if c not in order]
-    one = F.struct(*order, *rest)
+    one = F.struct(*order, *[c for c in df.columns if c not in order])
     cols = df.groupBy("page_id", "column_number").agg(F.sort_array(F.collect_list(one)).alias("_boxes"))
-    kind = f"array<{df.select(one.alias('b')).schema['b'].dataType.simpleString()}>"
-    empty = F.array().cast(kind)
+    corners = ["x1", "x2", "y1", "y2"]
+    slim = F.transform("_boxes", lambda b, i: F.struct(i.alias("i"), F.lit(1).alias("n"), *[b[c].alias(c) for c in (*corners, "class", "column_width", "column_number")]))
+    cols = cols.select("_boxes", slim.alias("_slim"))
+    empty = F.slice("_slim", 1, 0)
     start = F.struct(empty.alias("out"), empty.alias("now"))
 
     def step(acc: Column, b: Column) -> Column:
         held = F.try_element_at(acc["now"], F.lit(1))
-        x1, x2, y1, y2 = F.least(held["x1"], b["x1"]), F.greatest(held["x2"], b["x2"]), F.least(held["y1"], b["y1"]), F.greatest(held["y2"], b["y2"])
-        joined = F.coalesce((y2 - y1 <= b["column_width"] * width_multiplier) & (held["class"] == b["class"]), F.lit(False))
-        new = {"x1": x1, "x2": x2, "y1": y1, "y2": y2, "center_x": (x1 + x2) / 2, "center_y": (y1 + y2) / 2}
-        merged = F.struct(*[new.get(c, held[c]).alias(c) for c in [*order, *rest]])
-        alone = b["class"].isin("figure", "table")
+        hull = {c: (F.least if c[1] == "1" else F.greatest)(held[c], b[c]) for c in corners}
+        joined = F.coalesce((hull["y2"] - hull["y1"] <= b["column_width"] * width_multiplier) & (held["class"] == b["class"]), F.lit(False))
+        merged = F.struct(held["i"].alias("i"), (held["n"] + 1).alias("n"), *[hull[c].alias(c) for c in corners], *[held[c].alias(c) for c in ("class", "column_width", "column_number")])
+        alone = b["class"].isin("figure", "table") | (b["column_number"] == 0)
         return (
             F.when(alone, F.struct(F.concat(acc["out"], acc["now"], F.array(b)).alias("out"), empty.alias("now")))
-            .when(b["column_number"] == 0, F.struct(F.concat(acc["out"], F.array(b)).alias("out"), acc["now"].alias("now")))
             .when(F.size(acc["now"]) == 0, F.struct(acc["out"].alias("out"), F.array(b).alias("now")))
             .when(joined, F.struct(acc["out"].alias("out"), F.array(merged).alias("now")))
             .otherwise(F.struct(F.concat(acc["out"], acc["now"]).alias("out"), F.array(b).alias("now")))
         )
 
-    folded = F.aggregate("_boxes", start, step, lambda acc: F.concat(acc["out"], acc["now"]))
-    return cols.select(F.explode(folded).alias("b")).select(*[F.col("b")[c].alias(c) for c in df.columns])
+    groups = F.aggregate("_slim", start, step, lambda acc: F.concat(acc["out"], acc["now"]))
+    rows = cols.select("_boxes", F.explode(groups).alias("g")).select(F.element_at("_boxes", F.col("g.i") + 1).alias("b"), "g")
+    middle = lambda c, lo, hi: F.when(F.col("g.n") > 1, (F.col(f"g.{lo}") + F.col(f"g.{hi}")) / 2).otherwise(F.col(f"b.{c}"))
+    new = {c: F.col(f"g.{c}") for c in corners} | {"center_x": middle("center_x", "x1", "x2"), "center_y": middle("center_y", "y1", "y2")}
+    return rows.select(*[new.get(c, F.col("b")[c]).alias(c) for c in df.columns])
 
 
 def merge_overlapping(df: DataFrame, least_percent: float = 50.0) -> DataFrame:

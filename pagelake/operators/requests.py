@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import ids
 from pagelake.functions.geometry import clamp, split_plan
 
-#: Instructions by box class; other classes get the one for text.
+#: Instructions by box class; other classes get the one for text.
 PROMPTS = {
     "text": "Transcribe the text of this image exactly. Answer with the text only.",
     "title": "Transcribe the heading of this image exactly. Answer with the text only.",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import geometry, ids, text, vectors
-from pagelake.operators import articles, compare, coverage, evaluate, jobs, labels, layout, requests, responses
+from pagelake.operators import articles, compare, coverage, evaluate, jobs, labels, layout, requests, responses, tables
 from pagelake.plans import synthetic
 from pagelake.sources import readers
 
@@ -282,7 +282,17 @@ def vertical_overlap(spark, sf_dir):
     return found.where("overlap_percent IS NOT NULL")
 
 
-@query()
+@query(upto("ordered", "1").replace("SELECT 1 FROM ordered", "").rstrip() + """,
+turns AS (SELECT page_id, column_number, reading_order, x1, y1, x2, y2, center_x, center_y, row_number() OVER (PARTITION BY page_id, column_number ORDER BY reading_order, box_id) AS rn FROM ordered),
+met AS (SELECT *, coalesce(reading_order - lag(reading_order) OVER w <= 1 AND least(lag(y2) OVER w, y2) - greatest(lag(y1) OVER w, y1) > 0 AND least(lag(y2) OVER w - lag(y1) OVER w, y2 - y1) > 0
+    AND 100 * (least(lag(y2) OVER w, y2) - greatest(lag(y1) OVER w, y1)) / least(lag(y2) OVER w - lag(y1) OVER w, y2 - y1) >= 50, false) AS meets FROM turns WINDOW w AS (PARTITION BY page_id, column_number ORDER BY rn)),
+taken AS (SELECT page_id, column_number, rn, false AS taken FROM met WHERE rn = 1
+    UNION ALL SELECT m.page_id, m.column_number, m.rn, m.meets AND NOT t.taken FROM taken t JOIN met m ON m.page_id = t.page_id AND m.column_number = t.column_number AND m.rn = t.rn + 1),
+pairs AS (SELECT m.*, t.taken, coalesce(lead(t.taken) OVER w, false) AS takes, lead(m.x1) OVER w AS a1, lead(m.y1) OVER w AS b1, lead(m.x2) OVER w AS a2, lead(m.y2) OVER w AS b2
+    FROM met m JOIN taken t USING (page_id, column_number, rn) WINDOW w AS (PARTITION BY page_id, column_number ORDER BY rn))
+SELECT page_id, column_number, reading_order, CASE WHEN takes THEN least(x1, a1) ELSE x1 END AS x1, CASE WHEN takes THEN least(y1, b1) ELSE y1 END AS y1, CASE WHEN takes THEN greatest(x2, a2) ELSE x2 END AS x2,
+    CASE WHEN takes THEN greatest(y2, b2) ELSE y2 END AS y2, CASE WHEN takes THEN (least(x1, a1) + greatest(x2, a2)) / 2 ELSE center_x END AS center_x, CASE WHEN takes THEN (least(y1, b1) + greatest(y2, b2)) / 2 ELSE center_y END AS center_y
+FROM pairs WHERE NOT taken""")
 def merge_overlapping_boxes(spark, sf_dir):
     return layout.merge_overlapping(_ordered(spark, sf_dir))
 
@@ -345,7 +355,14 @@ def split_plan(spark, sf_dir):
     return rows.select(*BOX, F.explode(geometry.split_plan(F.col("w"), F.col("h"))).alias("s")).select(*BOX, "s.*")
 
 
-@query()
+@query(upto("done", "1").replace("SELECT 1 FROM done", "").rstrip() + """,
+crops AS (SELECT page_id, class, 'B' || page_block || 'C' || column_number || 'R' || reading_order AS box_page_id, greatest(0, trunc(x1)::INT) AS a, greatest(0, trunc(y1)::INT) AS b, least(1200, trunc(x2)::INT) AS c, least(2000, trunc(y2)::INT) AS d FROM done),
+sized AS (SELECT *, c - a AS w, d - b AS h, floor((c - a) * 1.5::DOUBLE)::INT AS size, floor((c - a) * 1.5::DOUBLE)::INT - floor(floor((c - a) * 1.5::DOUBLE) * 0.2::DOUBLE)::INT AS step FROM crops WHERE c > a AND d > b),
+parts AS (SELECT *, class = 'figure' OR h::DOUBLE / w <= 1.5::DOUBLE OR step <= 0 AS whole FROM sized),
+cut AS (SELECT *, unnest(range(CASE WHEN whole THEN 1 ELSE least(20, greatest(1, ceil((h - size) / step::DOUBLE)::INT + 1)) END))::INT AS k FROM parts)
+SELECT page_id, class, box_page_id, k AS segment, a AS crop_x1, c AS crop_x2, b + CASE WHEN whole THEN 0 WHEN k * step + size > h THEN greatest(0, h - size) ELSE k * step END AS crop_y1,
+    b + CASE WHEN whole THEN h ELSE least(k * step + size, h) END AS crop_y2, CASE WHEN class <> 'figure' AND h < w THEN floor((w - h) / 2::DOUBLE) ELSE 0 END::INT AS pad_top,
+    page_id || '_' || class || '_' || box_page_id || '_segment_' || k AS custom_id FROM cut""")
 def request_plan(spark, sf_dir):
     return requests.request_plan(layout.postprocess(layout.normalise_class(synthetic.boxes(spark, sf_dir))).withColumns({"page_width": F.lit(1200), "page_height": F.lit(2000)}))
 
@@ -813,5 +830,80 @@ def dimension_join(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(dim, "n_regionkey", "left").select("n_name", "r_name", "n_nationkey")
 
 
+@query("SELECT p.p_partkey, p.p_size, p.p_brand, q.p_type FROM part p JOIN (SELECT p_partkey, p_size, p_type FROM part WHERE p_size % 2 = 0) q USING (p_partkey, p_size)")
+def natural_join(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return tables.natural_join(part.select("p_partkey", "p_size", "p_brand"), part.where("p_size % 2 = 0").select("p_partkey", "p_size", "p_type"))
+
+
+@query("""
+SELECT a.source, n_issues, chars, de, en, es, fr FROM (SELECT source, count(DISTINCT doc_id) AS n_issues, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source) a
+JOIN (SELECT source, """ + ", ".join(f"nullif(count(*) FILTER (lang = '{x}'), 0) AS {x}" for x in LANGS[:-1]) + """ FROM documents GROUP BY source) b ON a.source = b.source
+""")
+def join_aggregates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    b = tables.count_pivot(docs, "source", "lang", LANGS[:-1])
+    sums = [F.countDistinct("doc_id").alias("n_issues"), F.sum(F.length("text")).alias("chars")]
+    return tables.join_aggregates(docs, b, ["source"], sums, [F.first(x).alias(x) for x in LANGS[:-1]])
+
+
+@query("SELECT coalesce(c.k, s.k) AS k, c.v, c.name, s.v AS v_2 FROM (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer) c FULL JOIN (SELECT s_suppkey * 2 AS k, s_acctbal AS v FROM supplier) s ON c.k = s.k")
+def side_by_side(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("name"))
+    return tables.side_by_side(a, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("k"), F.col("s_acctbal").alias("v")), ["k"])
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part")
+def column_selection(spark, sf_dir):
+    return tables.columns_like(tables.numeric_columns(table(spark, sf_dir, "part")), "^p_(partkey|size|retailprice)$")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40 OFFSET 10")
+def head_rows(spark, sf_dir):
+    return tables.rows_between(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 10, 50)
+
+
+@query(f"""
+WITH b AS ({synthetic.duck(synthetic.BOXES)}), k AS (SELECT page_id FROM (SELECT DISTINCT page_id FROM b) ORDER BY md5('1850' || page_id), page_id LIMIT 100)
+SELECT page_id, box_id FROM b WHERE page_id IN (SELECT page_id FROM k)
+""")
+def page_sample(spark, sf_dir):
+    return tables.page_sample(synthetic.boxes(spark, sf_dir).select(*BOX), "page_id", 100)
+
+
+@query(f"""
+SELECT page_id, box_id, pdf_width, pdf_height, page_width_pt, page_height_pt, round_even(pdf_width / page_width_pt * 72, 2) AS calculated_width_dpi, round_even(pdf_height / page_height_pt * 72, 2) AS calculated_height_dpi,
+    round_even(pdf_width / pdf_height, 3) AS image_aspect_ratio, round_even(page_width_pt / page_height_pt, 3) AS page_aspect_ratio, 'assume png' AS image_format
+FROM (SELECT page_id, box_id, x2 - x1 AS pdf_width, y2 - y1 AS pdf_height, page_width * 0.5::DOUBLE AS page_width_pt, page_height * 0.25::DOUBLE AS page_height_pt FROM ({synthetic.duck(synthetic.BOXES)}))
+""")
+def image_metadata(spark, sf_dir):
+    rows = synthetic.boxes(spark, sf_dir).select(*BOX, (F.col("x2") - F.col("x1")).alias("pdf_width"), (F.col("y2") - F.col("y1")).alias("pdf_height"), (F.col("page_width") * 0.5).alias("page_width_pt"), (F.col("page_height") * 0.25).alias("page_height_pt"))
+    return geometry.image_metadata(rows)
+
+
+_CHOICES = "; ".join(f"{k}: {v}" for k, v in labels.GENRES.items())
+
+
+@query(f"""
+SELECT doc_id, $$You sort articles of old newspapers by genre and answer with one code. Choose from these classes: {_CHOICES}. Answer as JSON, {{'class': number}}. Text: '''$$ || text || $$''' Example: for '''Sugar rose a penny in Leeds on Monday.''' the answer is {{'class': 0}}.$$ AS prompt FROM documents
+""")
+def genre_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", labels.genre_prompt(F.col("text")).alias("prompt"))
+
+
+@query("""
+SELECT doc_id::VARCHAR AS custom_id, CASE doc_id % 4 WHEN 0 THEN quality::VARCHAR WHEN 1 THEN '[' || quality || ',4]' END AS class_code, CASE WHEN doc_id % 4 = 1 THEN 'sure' END AS note,
+    CASE WHEN doc_id % 4 = 2 THEN quality::VARCHAR END AS value, CASE WHEN doc_id % 4 = 3 THEN 'it''s no answer {' END AS raw_value FROM labels
+""")
+def answer_columns(spark, sf_dir):
+    q, k = F.col("quality").cast("string"), F.col("doc_id") % 4
+    answer = (
+        F.when(k == 0, F.concat(F.lit("{'class': "), q, F.lit("}"))).when(k == 1, F.concat(F.lit('```json\n{"class": ['), q, F.lit(', 4], "note": "sure"}\n```')))
+        .when(k == 2, q).otherwise(F.lit("it's no answer {"))
+    )
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("custom_id"), answer.alias("content"))
+    return labels.answers_to_columns(rows, ["class", "note"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["article_counts"](spark, sf_dir)

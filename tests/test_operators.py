@@ -7,12 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.adapters import infer, retrying, stub_classifier
+from pagelake.adapters import image_steps, infer, rendered_pages, retrying, stub_classifier, stub_renderer, stub_step
 from pagelake.functions import geometry, ids, text
 from pagelake.functions.knit import knit, knit_all
-from pagelake.operators import articles, compare, coverage, evaluate, jobs, labels, layout, requests
+from pagelake.operators import articles, compare, coverage, evaluate, jobs, labels, layout, requests, tables
 from pagelake.plans import synthetic
-from pagelake.sources import readers, writers
+from pagelake.sources import readers, remote, writers
 from tests.helpers import DATA
 
 
@@ -234,3 +234,104 @@ def test_stream(spark, tmp_path):
     write_segments(segments(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.issue_id, r.reading_order, r.content) for r in rows] == [("A-1850-01-01", 2, "x")]
+
+
+def test_ward_against_centroids():
+    """On points, Ward's height is sqrt(2 |A| |B| / (|A| + |B|)) times the distance of the centroids."""
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 9):
+        points = rng.normal(size=(n, 3))
+        d = np.sqrt(((points[:, None] - points[None, :]) ** 2).sum(axis=2))
+        groups, want = {i: [i] for i in range(n)}, []
+        for new in range(n, 2 * n - 1):
+            def height(a, b):
+                p, q = points[groups[a]], points[groups[b]]
+                return np.sqrt(2 * len(p) * len(q) / (len(p) + len(q)) * ((p.mean(axis=0) - q.mean(axis=0)) ** 2).sum())
+
+            i, j = min(((a, b) for a in groups for b in groups if a < b), key=lambda ab: height(*ab))
+            want.append((i, j, height(i, j), len(groups[i]) + len(groups[j])))
+            groups[new] = groups.pop(i) + groups.pop(j)
+        got = compare.ward_linkage(d)
+        assert [(a, b, s) for a, b, _, s in got] == [(a, b, s) for a, b, _, s in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_error_rate_counts_code_points(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("aäß🙂 é") for _ in range(rng.randint(1, 12))), "".join(rng.choice("aäß🙂 é") for _ in range(rng.randrange(12)))) for _ in range(200)]
+    got = spark.createDataFrame(rows, "t string, f string").select("t", "f", text.character_error_rate(F.col("t"), F.col("f")).alias("r")).collect()
+    assert all(r.r == pytest.approx(edits(r.t, r.f) / len(r.t)) for r in got)
+
+
+def test_jobs_go_on_from_the_log(spark, tmp_path):
+    wanted = spark.createDataFrame([(f"i{k}",) for k in range(10)] + [("i3",)], "issue string")
+    log, seen = str(tmp_path / "log"), []
+
+    def submit(rows, broken=True):
+        seen.extend(r.issue for r in rows)
+        if broken and len(seen) > 6:
+            raise RuntimeError("the service is down")
+        return [(r.issue, f"job-{r.issue}") for r in rows if r.issue != "i0"]
+
+    with pytest.raises(RuntimeError):
+        jobs.submit_pending(wanted, log, "issue", submit, 3)
+    done = {r.issue for r in spark.read.parquet(log).collect()}
+    seen.clear()
+    assert jobs.submit_pending(wanted, log, "issue", lambda rows: submit(rows, False), 3) == 9 - len(done)
+    assert not done & set(seen) and len(seen) == 10 - len(done)
+    assert {r.issue for r in spark.read.parquet(log).collect()} == {f"i{k}" for k in range(1, 10)}
+
+
+def test_stages_skip_what_is_there(spark, tmp_path):
+    made = []
+
+    def stage(name):
+        def run(done):
+            made.append(name)
+            return spark.range(3)
+
+        return run
+
+    def state():
+        return jobs.PipelineState([jobs.Stage("a", stage("a"), path=str(tmp_path / "a")), jobs.Stage("b", stage("b"), ("a",), str(tmp_path / "b"))], spark=spark)
+
+    assert state().resume()["b"].count() == 3 and made == ["a", "b"]
+    assert state().resume()["b"].count() == 3 and made == ["a", "b"]
+    (tmp_path / "b" / "_SUCCESS").unlink()  # half written
+    assert state().resume()["b"].count() == 3 and made == ["a", "b", "b"]
+
+
+def test_remote_files_and_images(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.pdf").write_bytes(b"one\x0ctwo")
+    assert remote.copy(spark, str(tmp_path / "in"), str(tmp_path / "out")) and not remote.copy(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "out"))
+    pages = rendered_pages(files, stub_renderer)
+    assert sorted((r.name, r.page, bytes(r.image)) for r in pages.collect()) == [("x_page_0", 0, b"one"), ("x_page_1", 1, b"two")]
+    done = image_steps(pages, [stub_step, lambda data, row: data + row["name"].encode()])
+    writers.encoded_images(done.select(F.col("name").alias("custom_id"), F.base64("image").alias("image")), str(tmp_path / "png"))
+    assert (tmp_path / "png" / "x_page_1.png").read_bytes() == b"twox_page_1"
+    assert remote.delete(spark, str(tmp_path / "png" / "*.png"), 1) == 2 and remote.delete(spark, str(tmp_path / "png" / "*.png")) == 0
+
+
+def test_tables(spark):
+    a, b = spark.createDataFrame([(1, "x", 2.0)], "k int, name string, prob double"), spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "k int, name string, n int")
+    assert tables.natural_join(a, b).collect()[0].asDict() == {"k": 1, "name": "x", "prob": 2.0, "n": 5}
+    with pytest.raises(ValueError):
+        tables.natural_join(a.select("prob"), b)
+    assert tables.side_by_side(a, b, ["k"]).columns == ["k", "name", "prob", "name_2", "n"]
+    assert tables.columns_like(a, "prob|k").columns == ["k", "prob"] and tables.columns_like(a, "prob$", keep=False).columns == ["k", "name"] and tables.numeric_columns(a).columns == ["k", "prob"]
+    assert [r.id for r in tables.rows_between(spark.range(10), ["id"], 3, 6).collect()] == [3, 4, 5]
+
+
+def test_prompts(spark):
+    assert "5: environment" in value(spark, labels.topic_prompt(F.lit("x"))) and "15: conflict, war and peace" in value(spark, labels.topic_prompt(F.lit("x")))
+    assert "'''x'''" in value(spark, labels.genre_prompt(F.lit("x"))) and "6: other" in value(spark, labels.genre_prompt(F.lit("x")))
