@@ -92,7 +92,7 @@ def by_bytes(column: pa.Array, most: int, rows: int = 1 << 16) -> Iterator[tuple
 
 
 #: Places of the cache's table and how many of them a key may take.
-TABLE_BITS, PROBES = 22, 4
+TABLE_BITS, PROBES = 21, 4
 
 
 class ChunkCache:
@@ -103,7 +103,7 @@ class ChunkCache:
     bounded by the table and ``limit``, at which everything is forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
         self.encode_new, self.limit = encode, limit
         self.clear()
 

@@ -49,7 +49,7 @@ UNIGRAM, BPE = 1, 2
 #: Added to the lowest score for a code point no piece covers.
 UNKNOWN_PENALTY = 10.0
 _BASE = 0xD6E8FEB86659FD93
-PAIR_SLOTS = 1 << 22
+PAIR_SLOTS = 1 << 21
 #: Chunks of more code points are cut where no piece can reach across, and those that stay as long run alone if under ``FEW`` share their length.
 LONG, FEW = 32, 16
 
@@ -276,7 +276,7 @@ class PieceModel:
         at = 0
         for n, rows in zip(*np.unique(length, return_counts=True), strict=True):
             same = order[at : at + rows].tolist()
-            block = max(1, 2_000_000 // (int(n) + 1))
+            block = max(1, 500_000 // (int(n) + 1))
             if n > LONG and rows < FEW:
                 alone = [self.viterbi_alone(texts[k]) for k in same]
                 flats += [np.array(x, np.int64) for x in alone]
@@ -357,11 +357,11 @@ def model_bytes(spark: SparkSession, path: str) -> bytes:
 def _ready(model: bytes, kind: int | None) -> tuple[PieceModel, ChunkCache]:
     """Built once per Python worker, whose tasks share the chunks already encoded."""
     pieces = PieceModel(model, kind)
-    return pieces, ChunkCache(pieces.encode_chunks, limit=1_500_000)
+    return pieces, ChunkCache(pieces.encode_chunks, limit=1_000_000)
 
 
 #: Bytes of text handled at once; a longer text is handled alone.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 20
 
 
 def encode(df: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", kind: int | None = None) -> DataFrame:
@@ -385,6 +385,7 @@ def encode(df: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "tex
                     [b.column(0), lists, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
                     names=["doc_id", "ids", "n_tokens", "decoded_crc32", "round_trip"],
                 )
+        pa.default_memory_pool().release_unused()
 
     schema = f"doc_id {id_type}, ids array<int>, n_tokens long, decoded_crc32 long, round_trip boolean"
     return df.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)

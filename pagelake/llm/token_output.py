@@ -44,7 +44,7 @@ MAX_BITS = 18
 SEGMENT = 512
 BLOCK_IDS = 1 << 18
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 21
 END_ID = 2
 #: Classes of bytes: letters 0, digits 1, blanks 2, apostrophe 3, other ASCII 4, parts of other characters 5.
 _CLASS = np.full(256, 5, np.uint8)
@@ -86,7 +86,7 @@ class TextEncoder:
         added = self.library.get_added_tokens_decoder()
         self.mark, self.mark_id = next(((t.content, k) for k, t in added.items() if t.special), (None, None))
         self.added = [t.content for t in added.values()]
-        self.cache = ChunkCache(self._new, limit=1_500_000)
+        self.cache = ChunkCache(self._new, limit=1_000_000)
 
     def _new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks joined by a special token, which no merge crosses, are encoded in one call."""
