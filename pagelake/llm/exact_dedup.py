@@ -17,7 +17,8 @@ Edge cases: null texts count as empty and equal each other and "". Of equal
 texts the row with the largest doc_id stays (null ids are smallest; if all
 are null, keep_id is null and one row stays). Rows that repeat
 both id and text are one document: they count in group_size and give one result
-row. An empty table gives an empty result. Two texts with one SHA-256 digest
+row. Long texts are compared whole. Input rows travel as one struct, so no
+column's name can clash. An empty table gives an empty result. Two texts with one SHA-256 digest
 raise an error instead of merging silently.
 """
 

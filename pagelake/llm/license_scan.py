@@ -14,7 +14,8 @@ Spark's own filter drops texts without a trigger before any row reaches Python.
 Edge cases: null and empty texts have no findings. A window ends ``WINDOW_CHARS``
 characters from its trigger, for texts without word breaks. Repeated rows
 repeat their findings; an empty table gives no rows. A document without a
-notice has no row. Ties between templates go to the earlier one in the list.
+notice has no row. Long texts are scanned whole. Only doc_id and text are read,
+so other columns' names cannot clash. Ties between templates go to the earlier one in the list.
 """
 
 from __future__ import annotations
@@ -30,20 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Public notices and headers of common licenses.
+#: Parts of public license texts.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+#: Public notices, headers and whole texts of common licenses.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", _MIT_GRANT),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", _BSD_GRANT),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -58,6 +71,15 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("All-Rights-Reserved", "All rights reserved"),
+    ("MIT", f"{_MIT_GRANT}, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+     "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+     "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"),
+    ("BSD-2-Clause", f"{_BSD_GRANT}: {_BSD_TWO}{_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD_GRANT}: {_BSD_TWO}3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}"),
     *((name, f"SPDX-License-Identifier: {i}") for name, ids in (
         ("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("GPL-3.0", "GPL-3.0 GPL-3.0-only GPL-3.0-or-later"), ("GPL-2.0", "GPL-2.0 GPL-2.0-only GPL-2.0-or-later"),
         ("LGPL-3.0", "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"),
@@ -66,7 +88,7 @@ TEMPLATES = (
 )
 #: Words of a trigger may stand in different lines.
 TRIGGER = r"(?i)licen[cs]e|spdx-|" + "|".join(
-    t.replace(" ", r"\W{1,20}") for t in ("all rights reserved", "permission is hereby granted", "redistribution and use", "public domain", "creative commons", "waived all copyright", "subject to the terms of")
+    t.replace(" ", r"\W{1,20}") for t in ("all rights reserved", "permission is hereby granted", "permission to use", "redistribution and use", "public domain", "creative commons", "waived all copyright", "subject to the terms of")
 )
 #: Words that turn a notice that follows them into its opposite.
 DENIALS = frozenset(("not", "never", "formerly", "no", "un", "nicht", "pas"))
@@ -74,13 +96,13 @@ DENIALS = frozenset(("not", "never", "formerly", "no", "un", "nicht", "pas"))
 QUALIFIERS = frozenset(("lesser", "library", "affero"))
 #: Least share of a template's bytes that it must save.
 MIN_SAVING = 0.2
-#: Templates of up to so many words are always compared: the dictionary's overhead can exceed what they save.
-SHORT_WORDS = 4
+#: Templates of up to so many words are always compared: a neighbouring notice that starts alike can take most of what they save.
+SHORT_WORDS = 8
 #: Share of a template's words that may be missing; short templates must be whole.
 MAX_MISSING = 0.08
 #: Triggers so many words apart share a window.
 NEAR_WORDS = 8
-WINDOW_CHARS = 4_000
+WINDOW_CHARS = 8_000
 
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
@@ -89,12 +111,15 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-#: Words of the longest template, and a few more.
-REACH = max(len(_words(t)) for _, t in TEMPLATES) + 4
+#: Notices and whole texts are looked for apart, in windows of their own length: beside a long window's other words a notice saves too little.
+WHOLE_WORDS = 60
+GROUPS = tuple([k for k, (_, t) in enumerate(TEMPLATES) if (len(_words(t)) >= WHOLE_WORDS) is whole] for whole in (False, True))
+#: Words of the longest template of each group, and a few more.
+REACH = tuple(max(len(_words(TEMPLATES[k][1])) for k in group) + 4 for group in GROUPS)
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the windows around the triggers of a text, in code points."""
+def blocks(text: str, reach: int = REACH[0]) -> list[tuple[int, int]]:
+    """(start, end) of the windows of ``reach`` words on both sides of the triggers of a text, in code points."""
     hits = [m.span() for m in re.finditer(TRIGGER, text)]
     if not hits:
         return []
@@ -107,7 +132,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
             groups[-1][1], groups[-1][3] = k, e
         else:
             groups.append([k, k, h, e])
-    return [(max(words[max(0, k - REACH)][0], h - WINDOW_CHARS), min(words[min(len(words) - 1, m + REACH)][1], e + WINDOW_CHARS)) for k, m, h, e in groups]
+    return [(max(words[max(0, k - reach)][0], h - WINDOW_CHARS), min(words[min(len(words) - 1, m + reach)][1], e + WINDOW_CHARS)) for k, m, h, e in groups]
 
 
 @functools.cache
@@ -118,13 +143,13 @@ def _compressors() -> tuple:
     return z.ZstdCompressor(level=19), [z.ZstdCompressor(level=19, dict_data=d) for d in raw]
 
 
-def savings(block: str) -> list[tuple[float, int, float]]:
-    """(relative saving, minus template number, share of the template's bytes saved), best first."""
+def savings(block: str, group: list[int]) -> list[tuple[float, int, float]]:
+    """Of the templates of a group: (relative saving, minus template number, share of the template's bytes saved), best first."""
     plain, primed = _compressors()
     data = block.encode("utf-8", "replace")
     size = len(plain.compress(data))
-    saved = [size - len(c.compress(data)) for c in primed]
-    return sorted(((n / size, -k, n / len(TEMPLATES[k][1].encode())) for k, n in enumerate(saved)), reverse=True)
+    saved = [(k, size - len(primed[k].compress(data))) for k in group]
+    return sorted(((n / size, -k, n / len(TEMPLATES[k][1].encode())) for k, n in saved), reverse=True)
 
 
 def wording(template: str, have: list[str]) -> list[tuple[int, int, int, int]]:
@@ -166,11 +191,11 @@ def scan(text: str | None) -> list[dict]:
     """Findings of one text: license, start and end (code points of the notice), saving, rank, missing, inserted."""
     found: dict[tuple, dict] = {}
     text = text or ""
-    for a, b in blocks(text):
+    for group, a, b in ((group, a, b) for group, reach in zip(GROUPS, REACH, strict=True) for a, b in blocks(text, reach)):
         block = text[a:b]
         spans = [(a + m.start(), a + m.end()) for m in _WORD.finditer(block)]
         have = _words(block)
-        for rank, (saving, k, share) in enumerate(savings(block), 1):
+        for rank, (saving, k, share) in enumerate(savings(block, group), 1):
             name, template = TEMPLATES[-k]
             if share < MIN_SAVING and len(_words(template)) > SHORT_WORDS:
                 continue
@@ -182,11 +207,11 @@ def scan(text: str | None) -> list[dict]:
                 old = found.get((start, end))
                 if old is None or (missing + inserted, rank) < (old["missing"] + old["inserted"], old["rank"]):
                     found[start, end] = new
-    out, reach = [], -1
+    out, last = [], -1
     for f in sorted(found.values(), key=lambda f: (f["start"], -f["end"])):
-        if f["end"] > reach:
+        if f["end"] > last:
             out.append(f)
-            reach = f["end"]
+            last = f["end"]
     return out
 
 

@@ -15,7 +15,9 @@ of a batch of texts are hashed with numpy, without a loop over words.
 Edge cases: null, empty and blank texts have no features and get the score of
 the bias alone; without labels every score is 0.5. Documents whose labels
 disagree are not trained on. Repeated rows are scored alike; an empty table
-gives an empty result. Only doc_id and text are read from the documents.
+gives an empty result. Long texts are scored whole, a million characters at a
+time. Only doc_id and text are read from the documents, so other columns' names
+cannot clash.
 """
 
 from __future__ import annotations

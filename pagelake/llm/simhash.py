@@ -27,12 +27,15 @@ Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any others; texts with fewer words than a shingle have one, the whole
 sequence. Component ids are the smallest doc_id reachable; null ids are ignored
 there, and a component of only null ids has a null id. Repeated rows give
-repeated results. An empty table gives an empty result.
+repeated results. Long texts are hashed whole, some ten thousand shingles at a
+time. An empty table gives an empty result. Other columns are not read, and
+:func:`keep_one` passes them on, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,5 +219,5 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     """
     found = annotate(df, doc_id, text, shingle, seed)
     out = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("out")).where("out")
-    gone = checkpointed(out.select(F.col("doc_id").alias("_gone_id")))
-    return df.join(gone, df[doc_id] == gone["_gone_id"], "left_anti")
+    gone = checkpointed(out.select(F.col("doc_id").alias(f"gone_{uuid.uuid4().hex}")))
+    return df.join(gone, df[doc_id] == gone[gone.columns[0]], "left_anti")

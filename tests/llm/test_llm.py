@@ -106,6 +106,35 @@ def test_classifier_features_match_a_plain_loop():
     assert len(bucket) == want and set(doc) == {0}
 
 
+def test_classifier_against_a_plain_loop(spark, docs):
+    """Scores from features hashed one by one."""
+    bits, m32, m64 = quality_classifier.BUCKET_BITS, (1 << 32) - 1, (1 << 64) - 1
+
+    def features(t):
+        c = [32 if x in " \t\n\x0b\x0c\r" else ord(x) for x in " " + t + " "]
+        for n in quality_classifier.GRAMS:
+            for i in range(min(len(c) - n + 1, len(c) - 1)):
+                if 32 not in c[i + 1 : i + n - 1]:
+                    h = 2166136261 + n
+                    for x in c[i : i + n]:
+                        h = (h ^ x) * 0x01000193 & m32
+                    yield ((h ^ h >> 15) * 0x9E3779B1 & m32) >> (32 - bits)
+        for w in "".join(map(chr, c)).split(" "):
+            if w:
+                h = sum(ord(x) * pow(0x5851F42D4C957F2D, i, 1 << 64) for i, x in enumerate(w)) * 0x9E3779B97F4A7C15 & m64
+                yield h >> (64 - bits)
+
+    rng = np.random.default_rng(2)
+    table, bias = rng.normal(size=1 << bits).astype(np.float32), 0.3
+    got = collections.Counter((r.doc_id, round(r.score, 9)) for r in quality_classifier.score(docs, table, bias).collect())
+    want = collections.Counter()
+    for i, t, *_ in ROWS:
+        f = list(features(t or ""))
+        z = bias + (np.mean([float(table[k]) for k in f]) if f else 0.0)
+        want[i, round(1 / (1 + np.exp(-z)), 9)] += 1
+    assert got == want
+
+
 # --- 2 quality rules
 
 
@@ -730,6 +759,44 @@ def test_license_several(text, want):
     assert [f["license"] for f in license_scan.scan(text)] == want
 
 
+@pytest.mark.parametrize("n", [10, 40, 100, 600, 5000])
+def test_license_among_random_words(n):
+    rng = random.Random(n)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(k))
+    found = 0
+    for name, template in license_scan.TEMPLATES:
+        k = rng.randrange(n)
+        found += [f["license"] for f in license_scan.scan(f"{words(k)} {template}. {words(n - k)}")] == [name]
+    assert found >= 0.95 * len(license_scan.TEMPLATES)
+
+
+def test_license_against_brute_force(real):
+    """Every template by its wording alone, at every place of the whole text, without triggers, windows or compression."""
+    rng = random.Random(4)
+    texts = [r.text for r in real.where("text IS NOT NULL AND n_chars < 3000").collect()][:60]
+    for k in range(60):
+        words = texts[k].split(" ")
+        for _ in range(rng.randint(0, 3)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(license_scan.TEMPLATES)[1] + ".")
+        texts[k] = " ".join(words)
+    found = 0
+    for text in texts:
+        have, spans, all_of = license_scan._words(text), [m.span() for m in license_scan._WORD.finditer(text)], {}
+        for k, (name, template) in enumerate(license_scan.TEMPLATES):
+            for missing, inserted, a, z in license_scan.wording(template, have):
+                span = spans[a][0], spans[z - 1][1]
+                if not (template.startswith("SPDX-") and re.match(r"-\w", text[span[1] : span[1] + 2])):
+                    all_of[span] = min(all_of.get(span, (9, 0, "")), (missing + inserted, k, name))
+        want, last = [], -1
+        for (a, z), (_, _, name) in sorted(all_of.items(), key=lambda x: (x[0][0], -x[0][1])):
+            if z > last:
+                want.append((name, a, z))
+                last = z
+        assert [(f["license"], f["start"], f["end"]) for f in license_scan.scan(text)] == want
+        found += len(want)
+    assert found > 60
+
+
 def test_license_table(docs, empty, real):
     assert license_scan.find(docs).count() == 0 and license_scan.find(empty).count() == 0
     got = license_scan.find(real).where("license = 'MIT'").select("doc_id").distinct().count()
@@ -765,3 +832,17 @@ def test_pipeline_against_brute_force(spark, real, model):
     assert collections.Counter(r.doc_id for r in got) == +want
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     assert all(r.ids == sp.encode(docs[r.doc_id].text) and r.round_trip for r in got)
+
+
+def test_pipeline_edges(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, df in (("some", docs), ("none", empty)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        table = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, table, str(tmp_path / name)).columns == docs.columns
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    # of the five rows that are prose, four are one text; the fifth may be near it
+    assert {r.doc_id for r in got} <= {5, 6} and 5 in {r.doc_id for r in got} and all(r.round_trip for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
