@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. ``run`` writes each stage's rows as Parquet in
 the shared folder and gives the next stage what it reads back, so that a lost
 executor never costs more than the stage it was in.
+
+Edge cases: documents with null, empty or blank texts fail the quality rules and
+go there, as do all that lose too much of their text. Rows that repeat doc_id
+and text are one document from the second stage on; rows of one doc_id and
+different texts stay apart, and the third stage drops a doc_id only if none of
+its rows is the one that stays. Long texts pass whole. Ties are broken by doc_id,
+in the mix by a hash of doc_id and text. An empty table gives an empty result.
+Other columns pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
