@@ -713,8 +713,11 @@ def cosine_matrix(spark, sf_dir):
 def ward_linkage(spark, sf_dir):
     import numpy as np
 
-    rows = compare.cosine_matrix(_melted(spark, sf_dir), "source", "topic", "share").orderBy("a", "b").collect()  # sources squared, a few hundred
-    names = sorted({r.a for r in rows})
+    melted = _melted(spark, sf_dir)
+    names = sorted(r.source for r in melted.select("source").distinct().limit(1001).collect())
+    if len(names) > 1000:
+        raise ValueError("a dendrogram of more than 1,000 sources")
+    rows = compare.cosine_matrix(melted, "source", "topic", "share").collect()
     at = {n: i for i, n in enumerate(names)}
     d = np.ones((len(names), len(names)))
     for r in rows:
