@@ -10,6 +10,12 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def round_half_away(c: Column, digits: int) -> Column:
+    """Rounded as by C and DuckDB, from the scaled number and with its sign: -0.0 for small negative ones, where ``round`` gives 0.0."""
+    near = F.round(c * 10.0**digits, 0) / 10.0**digits
+    return F.when((near == 0) & (c < 0), F.lit(-0.0)).otherwise(near)
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 

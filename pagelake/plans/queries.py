@@ -731,7 +731,7 @@ SELECT label, list(m ORDER BY i) AS means, any_value(n) AS n FROM (SELECT label,
 """)
 def vector_means(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = rows.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("m"), F.count(F.lit(1)).alias("n"))
+    means = rows.groupBy("label", "i").agg(vectors.round_half_away(F.avg(F.col("x").cast("double")), 5).alias("m"), F.count(F.lit(1)).alias("n"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
     return means.groupBy("label").agg(listed.alias("means"), F.first("n").alias("n"))
 

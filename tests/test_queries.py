@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import duckdb
 import pytest
 
 from pagelake.functions.knit import longest_shared
@@ -25,6 +26,15 @@ def test_rows(spark, name):
     assert queries.QUERIES[name](spark, DATA).limit(5).collect()
 
 
+def test_vector_means_small_negative(spark, tmp_path):
+    rows = [(1, [-1e-6, 1.005e-5, -0.25], 1), (2, [-1e-6, 1.0e-5, 0.25], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.vector_means(spark, str(tmp_path)).collect()[0].means
+    sql = queries.ORACLES["vector_means"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert [repr(x) for x in got] == [repr(x) for x in duckdb.connect().sql(sql).fetchall()[0][1]]
+    assert repr(got[0]) == "-0.0"
+
+
 def test_segments_knit_whole_texts(spark):
     rng = random.Random(1)
     texts = {k: "".join(rng.choice("abcdefg hij") for _ in range(n)) for k, n in enumerate((0, 1, 20, 299, 300, 301, 550, 551, 1051, 2600))} | {10: "ab" * 900, 11: None}
