@@ -7,7 +7,10 @@ third page without spanning titles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+ORDER_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
 
 BOXES = """
 WITH ranked AS (
@@ -45,9 +48,34 @@ FROM conversations
 """
 
 
+#: Rows of order lines in one partition of boxes: what a task holds doesn't grow with the table.
+ROWS_A_TASK = 150_000
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of BOXES, dealt out once by page_id, which all windows of the layout chain share; the copies are made in place."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return spark.sql(BOXES.format(div="div").replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // ROWS_A_TASK))
+    page = F.expr("l_orderkey div 4")
+    lines = lines.select(*ORDER_LINE, page.alias("page"), F.concat(page.cast("string"), F.lit("_page_1")).alias("page_id")).repartition(tasks, "page_id")
+    ranked = lines.withColumn("bx", F.row_number().over(Window.partitionBy("page_id").orderBy(*ORDER_LINE)))
+    p, s, q, bx = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "bx"))
+    span = p % 9 == 0
+    x1, y1 = F.when(span, p % 20).otherwise((s % 4) * 250 + p % 20), F.floor((bx - 1) / 4) * 160 + p % 60
+    kind = (
+        F.when(span, "title").when(p % 11 == 0, "abandon").when((p % 5 == 0) & (F.col("l_returnflag") == "A"), "figure")
+        .when((p % 7 == 0) & (F.col("l_returnflag") == "R"), "table").when(p % 13 == 0, "caption").otherwise("plain text")
+    )
+    confidence = F.expr("1 - l_discount")
+    copies = F.when(p % 17 == 0, F.array(F.lit(0), F.lit(1000))).otherwise(F.array(F.lit(0)))
+    found = ranked.where(~((F.col("page") % 3 == 0) & span)).select(
+        "page_id", bx.alias("bx"), kind.alias("class"), confidence.cast("double").alias("c0"), F.expr("1 - l_discount - 0.01").cast("double").alias("c1"), x1.cast("double").alias("x1"),
+        y1.cast("double").alias("y1"), (x1 + F.when(span, 960).otherwise(200 + s % 30)).cast("double").alias("x2"), (y1 + 20 + 3 * q.cast("int")).cast("double").alias("y2"), F.explode(copies).alias("more"),
+    )
+    return found.select(
+        F.concat("page_id", F.lit(".png")).alias("filename"), "page_id", (F.col("bx") + F.col("more")).cast("int").alias("box_id"), "class", F.when(F.col("more") == 0, F.col("c0")).otherwise(F.col("c1")).alias("confidence"),
+        "x1", "y1", "x2", "y2", F.lit(1200).alias("page_width"), F.lit(2000).alias("page_height"),
+    )
 
 
 def box_text(spark: SparkSession, sf_dir: str) -> DataFrame:
