@@ -335,3 +335,33 @@ def test_tables(spark):
 def test_prompts(spark):
     assert "5: environment" in value(spark, labels.topic_prompt(F.lit("x"))) and "15: conflict, war and peace" in value(spark, labels.topic_prompt(F.lit("x")))
     assert "'''x'''" in value(spark, labels.genre_prompt(F.lit("x"))) and "6: other" in value(spark, labels.genre_prompt(F.lit("x")))
+
+
+def exchanges(df, kind="Exchange hashpartitioning"):
+    return df._jdf.queryExecution().executedPlan().toString().count(kind)
+
+
+def test_boxes_are_dealt_once_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(synthetic, "ROWS_A_TASK", 500)
+    df = synthetic.boxes(spark, DATA)
+    assert df.rdd.getNumPartitions() == -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert exchanges(layout.reading_order(layout.collapse_class(layout.assign_columns(layout.basic_box_data(layout.add_issue(df)))))) == 1
+
+
+def test_coverage_makes_no_row_per_slab(spark):
+    df = coverage.page_coverage(layout.basic_box_data(synthetic.boxes(spark, DATA)))
+    assert "Generate explode" not in df._jdf.queryExecution().executedPlan().toString().split("collect_list")[0]
+
+
+def test_coverage_of_a_page_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, c = rng.integers(0, 40, (2, 1, 60))
+    b, d = a + rng.integers(1, 12, (1, 60)), c + rng.integers(1, 12, (1, 60))
+    fig = rng.random((1, 60)) < 0.3
+    t, f = np.zeros((60, 60), int), np.zeros((60, 60), int)
+    for k in range(60):
+        (f if fig[0, k] else t)[a[0, k] : b[0, k], c[0, k] : d[0, k]] += 1
+    want = [int(x.sum()) for x in (t > 0, t > 1, (t > 0) & (f > 0), t + f > 0, t + f > 1)]
+    for cells in (1, 500, 1_000_000):
+        monkeypatch.setattr(coverage, "CELLS", cells)
+        assert coverage._areas(a, b, c, d, fig)[0].tolist() == want
