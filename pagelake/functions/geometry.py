@@ -26,22 +26,45 @@ def clamp(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height:
     return F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"), ((c > a) & (d > b)).alias("valid"))
 
 
-def split_plan(width: Column, height: Column, max_ratio: float = 1.5, overlap: float = 0.2, most: int = 20) -> Column:
-    """Array of (k, y0, y1): the segments of a tall image, the last one shifted up to keep its height."""
+def _cut(width: Column, max_ratio: float, overlap: float) -> tuple[Column, Column]:
     size = F.floor(width * max_ratio).cast("int")
-    step = size - F.floor(size * overlap).cast("int")
-    # segments until one reaches the bottom, at most ``most``
+    return size, size - F.floor(size * overlap).cast("int")
+
+
+def split_count(width: Column, height: Column, max_ratio: float = 1.5, overlap: float = 0.2, most: int = 20) -> Column:
+    """Segments until one reaches the bottom, at most ``most``; null where the image stays whole."""
+    size, step = _cut(width, max_ratio, overlap)
     n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil((height - size) / step).cast("int") + 1))
-    tall = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.struct(
-            k.alias("k"),
-            F.when(k * step + size > height, F.greatest(F.lit(0), height - size)).otherwise(k * step).cast("int").alias("y0"),
-            F.least(k * step + size, height).cast("int").alias("y1"),
-        ),
-    )
+    return F.when((height / width <= max_ratio) | (step <= 0), F.lit(None)).otherwise(n)
+
+
+def segment(k: Column, width: Column, height: Column, max_ratio: float = 1.5, overlap: float = 0.2) -> tuple[Column, Column]:
+    """y0 and y1 of segment ``k`` of a tall image, the last one shifted up to keep its height."""
+    size, step = _cut(width, max_ratio, overlap)
+    y0 = F.when(k * step + size > height, F.greatest(F.lit(0), height - size)).otherwise(k * step)
+    return y0.cast("int"), F.least(k * step + size, height).cast("int")
+
+
+def split_plan(width: Column, height: Column, max_ratio: float = 1.5, overlap: float = 0.2, most: int = 20) -> Column:
+    """Array of (k, y0, y1): the segments of a tall image."""
+    n = split_count(width, height, max_ratio, overlap, most)
+
+    def one(k: Column) -> Column:
+        y0, y1 = segment(k, width, height, max_ratio, overlap)
+        return F.struct(k.alias("k"), y0.alias("y0"), y1.alias("y1"))
+
     whole = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("y0"), height.cast("int").alias("y1")))
-    return F.when((height / width <= max_ratio) | (step <= 0), whole).otherwise(tall)
+    return F.when(n.isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), n - 1), one))
+
+
+def split_rows(df: DataFrame, width: Column, height: Column, whole: Column | None = None, max_ratio: float = 1.5, overlap: float = 0.2, most: int = 20) -> DataFrame:
+    """``split_plan`` with one row per segment and columns k, y0, y1: only k is exploded, the rest are plain expressions."""
+    n = split_count(width, height, max_ratio, overlap, most)
+    n = n if whole is None else F.when(whole, F.lit(None)).otherwise(n)
+    rows = df.withColumns({"_w": width, "_h": height, "_n": n}).select("*", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)).alias("k"))
+    y0, y1 = segment(F.col("k"), F.col("_w"), F.col("_h"), max_ratio, overlap)
+    tall = F.col("_n").isNotNull()
+    return rows.withColumns({"y0": F.when(tall, y0).otherwise(0), "y1": F.when(tall, y1).otherwise(F.col("_h").cast("int"))}).drop("_w", "_h", "_n")
 
 
 def pixels_to_dpi(pixels: Column, points: Column) -> Column:

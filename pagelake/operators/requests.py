@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import ids
-from pagelake.functions.geometry import clamp, split_plan
+from pagelake.functions.geometry import clamp, split_rows
 
 #: Instructions by box class; other classes get the one for text.
 PROMPTS = {
@@ -25,14 +25,12 @@ def request_plan(df: DataFrame, max_ratio: float = 1.5, overlap: float = 0.2) ->
     """
     df = df.withColumn("_crop", clamp(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("page_width"), F.col("page_height"))).where("_crop.valid")
     w, h = F.col("_crop.x2") - F.col("_crop.x1"), F.col("_crop.y2") - F.col("_crop.y1")
-    whole = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("y0"), h.alias("y1")))
-    parts = F.when(F.col("class") == "figure", whole).otherwise(split_plan(w, h, max_ratio, overlap))
-    df = df.select("*", F.explode(parts).alias("_s"))
+    df = split_rows(df.select("page_id", "class", "box_page_id", "_crop"), w, h, F.col("class") == "figure", max_ratio, overlap)
     pad = F.when((F.col("class") != "figure") & (h < w), F.floor((w - h) / 2)).otherwise(0).cast("int")
     return df.select(
-        "page_id", "class", "box_page_id", F.col("_s.k").alias("segment"), F.col("_crop.x1").alias("crop_x1"), F.col("_crop.x2").alias("crop_x2"),
-        (F.col("_crop.y1") + F.col("_s.y0")).alias("crop_y1"), (F.col("_crop.y1") + F.col("_s.y1")).alias("crop_y2"), pad.alias("pad_top"),
-        ids.custom_id(F.col("page_id").cast("string"), F.col("class"), F.col("box_page_id"), F.col("_s.k")).alias("custom_id"),
+        "page_id", "class", "box_page_id", F.col("k").alias("segment"), F.col("_crop.x1").alias("crop_x1"), F.col("_crop.x2").alias("crop_x2"),
+        (F.col("_crop.y1") + F.col("y0")).alias("crop_y1"), (F.col("_crop.y1") + F.col("y1")).alias("crop_y2"), pad.alias("pad_top"),
+        ids.custom_id(F.col("page_id").cast("string"), F.col("class"), F.col("box_page_id"), F.col("k")).alias("custom_id"),
     )
 
 

@@ -352,7 +352,7 @@ SELECT page_id, box_id, k, CASE WHEN h::DOUBLE / w <= 1.5::DOUBLE THEN 0 WHEN k
 """)
 def split_plan(spark, sf_dir):
     rows = synthetic.boxes(spark, sf_dir).select(*BOX, (10 + F.col("box_id") % 40).alias("w"), ((F.col("y2") - F.col("y1")).cast("int") * 2).alias("h"))
-    return rows.select(*BOX, F.explode(geometry.split_plan(F.col("w"), F.col("h"))).alias("s")).select(*BOX, "s.*")
+    return geometry.split_rows(rows, F.col("w"), F.col("h")).select(*BOX, "k", "y0", "y1")
 
 
 @query(upto("done", "1").replace("SELECT 1 FROM done", "").rstrip() + """,
