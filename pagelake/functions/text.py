@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,11 +92,18 @@ def reading_ease(c: Column) -> Column:
     Syllables are vowel groups (y included), one per word at least; sentences are
     runs of text ended by . ! or ?. Dictionary syllables would differ a little.
     """
-    words = F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != "")
-    n = F.size(words).cast("double")
-    syllables = F.aggregate(words, F.lit(0), lambda a, w: a + F.greatest(F.lit(1), F.length(F.regexp_replace(F.regexp_replace(w, "[aeiouy]+", "1"), "[^1]", ""))))
-    sentences = F.greatest(F.lit(1), F.size(F.filter(F.split(c, "[.!?]+"), lambda s: F.rlike(s, F.lit("[A-Za-z]")))))
-    return F.when(n > 0, 206.835 - 1.015 * (n / sentences) - 84.6 * (syllables / n))
+    return F.arrow_udf(_ease, "double").asNondeterministic()(c)  # or a filter on it runs it twice
+
+
+def _ease(texts: pa.Array) -> pa.Array:
+    count = lambda a, pattern: pc.count_substring_regex(a, pattern).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    low = pc.utf8_lower(texts)
+    n, groups, voiced = (count(low, p) for p in ("[a-z]+", "[aeiouy]+", "[a-z]*[aeiouy][a-z]*"))
+    sentences = np.maximum(1, count(texts, "[A-Za-z][^.!?]*"))
+    some = np.nan_to_num(n) > 0
+    n = np.where(some, n, 1)
+    ease = 206.835 - 1.015 * (n / sentences) - 84.6 * ((groups + n - voiced) / n)
+    return pa.array(ease, mask=~some)
 
 
 def character_error_rate(truth: Column, found: Column) -> Column:
