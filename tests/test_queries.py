@@ -5,7 +5,9 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from pagelake.functions import text
 from pagelake.functions.knit import longest_shared
 from pagelake.plans import queries
 from tests.helpers import DATA, connect, same
@@ -60,6 +62,41 @@ def test_longest_shared_is_difflibs():
         assert got[2] == m.size and (not m.size or got == (m.a, m.b, m.size))
 
 
+def test_longest_shared_searches_long_texts_seldom():
+    class Counted(str):
+        calls = 0
+
+        def __contains__(self, part):
+            Counted.calls += 1
+            return str.__contains__(self, part)
+
+        def find(self, *args):
+            Counted.calls += 1
+            return str.find(self, *args)
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ij") for _ in range(5250))
+    assert longest_shared(Counted(text[:5050]), text[5000:]) == (5000, 0, 50)
+    assert Counted.calls < 30
+
+
+def test_reading_ease_odd_texts(spark):
+    rows = [("The nth hymn. Be!?", 206.835 - 1.015 * 2 - 84.6), ("\u212aE... \u00e9 1", 206.835 - 1.015 - 84.6), ("12 \u00e9.", None), ("", None), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want double").select("want", text.reading_ease(F.col("t")).alias("got")).collect()
+    assert all(r.want == r.got if r.want is None else abs(r.want - r.got) < 1e-9 for r in got), got
+
+
+def test_reading_ease_has_no_call_per_word(spark):
+    plan = queries.reading_ease(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_merging_keeps_the_pages_partitions(spark):
+    for name in ("merge_boxes", "merge_overlapping_boxes", "postprocess_bbox", "request_plan"):
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "collect_list(struct" not in plan, name
+
+
 def test_entry(spark):
     import __spark_entry__
 
