@@ -7,6 +7,10 @@ shuffle by page_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,36 +169,77 @@ def fill_column_gaps(df: DataFrame) -> DataFrame:
 def merge_within_column(df: DataFrame, width_multiplier: float = 1.5) -> DataFrame:
     """Merge neighbours of a column, in reading order, while the result is not too tall and of one class.
 
-    One ordered fold per column over its boxes' corners and classes, whose groups
-    then take their first box's other fields; figures, tables and column 0 pass through. All fields but corners and centres are the first box's.
+    One ordered fold per column over its boxes' corners and classes; figures, tables and column 0 pass through.
+    All fields but corners and centres are the first box's.
     """
     order = ["reading_order", "box_id"]
-    one = F.struct(*order, *[c for c in df.columns if c not in order])
-    cols = df.groupBy("page_id", "column_number").agg(F.sort_array(F.collect_list(one)).alias("_boxes"))
     corners = ["x1", "x2", "y1", "y2"]
-    slim = F.transform("_boxes", lambda b, i: F.struct(i.alias("i"), F.lit(1).alias("n"), *[b[c].alias(c) for c in (*corners, "class", "column_width", "column_number")]))
-    cols = cols.select("_boxes", slim.alias("_slim"))
-    empty = F.slice("_slim", 1, 0)
-    start = F.struct(empty.alias("out"), empty.alias("now"))
-
-    def step(acc: Column, b: Column) -> Column:
-        held = F.try_element_at(acc["now"], F.lit(1))
-        hull = {c: (F.least if c[1] == "1" else F.greatest)(held[c], b[c]) for c in corners}
-        joined = F.coalesce((hull["y2"] - hull["y1"] <= b["column_width"] * width_multiplier) & (held["class"] == b["class"]), F.lit(False))
-        merged = F.struct(held["i"].alias("i"), (held["n"] + 1).alias("n"), *[hull[c].alias(c) for c in corners], *[held[c].alias(c) for c in ("class", "column_width", "column_number")])
-        alone = b["class"].isin("figure", "table") | (b["column_number"] == 0)
-        return (
-            F.when(alone, F.struct(F.concat(acc["out"], acc["now"], F.array(b)).alias("out"), empty.alias("now")))
-            .when(F.size(acc["now"]) == 0, F.struct(acc["out"].alias("out"), F.array(b).alias("now")))
-            .when(joined, F.struct(acc["out"].alias("out"), F.array(merged).alias("now")))
-            .otherwise(F.struct(F.concat(acc["out"], acc["now"]).alias("out"), F.array(b).alias("now")))
-        )
-
-    groups = F.aggregate("_slim", start, step, lambda acc: F.concat(acc["out"], acc["now"]))
-    rows = cols.select("_boxes", F.explode(groups).alias("g")).select(F.element_at("_boxes", F.col("g.i") + 1).alias("b"), "g")
-    middle = lambda c, lo, hi: F.when(F.col("g.n") > 1, (F.col(f"g.{lo}") + F.col(f"g.{hi}")) / 2).otherwise(F.col(f"b.{c}"))
-    new = {c: F.col(f"g.{c}") for c in corners} | {"center_x": middle("center_x", "x1", "x2"), "center_y": middle("center_y", "y1", "y2")}
-    return rows.select(*[new.get(c, F.col("b")[c]).alias(c) for c in df.columns])
+    least = lambda p, q: q if p is None else p if q is None else min(p, q)
+    greatest = lambda p, q: q if p is None else p if q is None else max(p, q)
+
+    def fold(boxes: list[tuple]) -> list[tuple | None]:
+        out: list[tuple | None] = [None] * len(boxes)
+        held = None  # place, number of boxes, corners, class
+        for i, (x1, x2, y1, y2, kind, width, column) in enumerate(boxes):
+            alone = kind in ("figure", "table") or column == 0
+            if held is not None and not alone:
+                at, n, a1, a2, b1, b2, held_kind = held
+                top, low = least(b1, y1), greatest(b2, y2)
+                if None not in (top, low, width, kind) and kind == held_kind and low - top <= width * width_multiplier:
+                    held = (at, n + 1, least(a1, x1), greatest(a2, x2), top, low, kind)
+                    continue
+            if held is not None:
+                out[held[0]], held = held[1:6], None
+            if alone:
+                out[i] = (1, x1, x2, y1, y2)
+            else:
+                held = (i, 1, x1, x2, y1, y2, kind)
+        if held is not None:
+            out[held[0]] = held[1:6]
+        return out
+
+    others = [c for c in df.columns if c not in order]
+    g = _by_column(df, [*order, *others], [F.col(c).cast("double") for c in corners] + [F.col("class"), F.col("column_width").cast("double"), F.col("column_number").cast("int")], fold, "n int, x1 double, x2 double, y1 double, y2 double")
+    middle = lambda c, lo, hi: F.when(F.col("_g.n") > 1, (F.col(f"_g.{lo}") + F.col(f"_g.{hi}")) / 2).otherwise(F.col(c))
+    new = {c: F.col(f"_g.{c}").cast(df.schema[c].dataType) for c in corners} | {"center_x": middle("center_x", "x1", "x2"), "center_y": middle("center_y", "y1", "y2")}
+    return g.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
+def _by_column(df: DataFrame, order: list[str], args: list[Column], fold: Callable[[list[tuple]], list[tuple | None]], kind: str) -> DataFrame:
+    """The rows of each page's column, in order, for which ``fold`` gives a tuple, and that as ``_g``; rows it gives None are left out.
+
+    Only ``args`` go to Python; rows are neither gathered into arrays nor copied.
+    """
+
+    def run(batches: Iterator[tuple]) -> Iterator:
+        type_ = pa.struct([pa.field(name, {"int": pa.int32(), "double": pa.float64()}[t]) for name, t in (c.split() for c in kind.split(", "))])
+        none = (None,) * type_.num_fields
+
+        def packed(rows: list[tuple | None]) -> pa.StructArray:
+            columns = list(zip(*[none if r is None else r for r in rows])) or [()] * type_.num_fields
+            # the first field is null where the row is left out
+            return pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, type_)], fields=list(type_))
+
+        group: list[tuple] = []
+        for arrays in batches:
+            nth, rows, done, last = arrays[0].to_numpy(), list(zip(*[a.to_pylist() for a in arrays[1:]])), [], 0
+            for at in np.flatnonzero(nth == 1):
+                group.extend(rows[last:at])
+                done.extend(fold(group))
+                group, last = [], at
+            group.extend(rows[last:])
+            if len(group) != nth[-1]:
+                raise ValueError("rows of a column came out of order")
+            if done:
+                yield packed(done)
+        if group:
+            yield packed(fold(group))
+
+    hints = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    run.__annotations__ = hints
+    nth = F.row_number().over(Window.partitionBy("page_id", "column_number").orderBy(*order))
+    found = F.arrow_udf(run, kind).asNondeterministic()("_nth", *args)
+    return df.withColumn("_nth", nth).withColumn("_g", found).where(F.col("_g").getField(kind.split()[0]).isNotNull()).drop("_nth")
 
 
 def merge_overlapping(df: DataFrame, least_percent: float = 50.0) -> DataFrame:
@@ -203,46 +248,41 @@ def merge_overlapping(df: DataFrame, least_percent: float = 50.0) -> DataFrame:
     The fold compares each box, in reading order, with the group it would join:
     a group takes a box at most one place from its own first place.
     """
-    fields = ["reading_order", "box_id", "x1", "y1", "x2", "y2", "center_x", "center_y"]
-    kinds = "reading_order: int, box_id: int, x1: double, y1: double, x2: double, y2: double, center_x: double, center_y: double"
-    kind = f"array<struct<{kinds}>>"
-
-    def group(boxes: list[dict]) -> list[dict]:
-        left, out = boxes, []
-        while left:
-            now, later = left[0], []
-            for b in left[1:]:
-                shared = min(now["y2"], b["y2"]) - max(now["y1"], b["y1"])
-                low = min(now["y2"] - now["y1"], b["y2"] - b["y1"])
-                near = abs(now["reading_order"] - b["reading_order"]) <= 1
-                if near and shared > 0 and low > 0 and 100 * shared / low >= least_percent:
-                    now = now | {k: f(now[k], b[k]) for k, f in (("x1", min), ("y1", min), ("x2", max), ("y2", max), ("reading_order", min))}
-                    now |= {"center_x": (now["x1"] + now["x2"]) / 2, "center_y": (now["y1"] + now["y2"]) / 2}
-                else:
-                    later.append(b)
-            out.append(now)
-            left = later
-        return out
-
-    def run(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            new = pa.array([group(boxes) for boxes in b.column(2).to_pylist()], b.column(2).type)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), new], names=["page_id", "column_number", "boxes"])
+    def fold(boxes: list[tuple]) -> list[tuple | None]:
+        out: list[tuple | None] = [None] * len(boxes)
+        taken = [False] * len(boxes)
+        for i, (place, x1, y1, x2, y2, cx, cy) in enumerate(boxes):
+            if taken[i]:
+                continue
+            for j in range(i + 1, len(boxes)):
+                b = boxes[j]
+                if b[0] - place > 1:
+                    break
+                shared, low = min(y2, b[4]) - max(y1, b[2]), min(y2 - y1, b[4] - b[2])
+                if not taken[j] and shared > 0 and low > 0 and 100 * shared / low >= least_percent:
+                    taken[j] = True
+                    x1, y1, x2, y2 = min(x1, b[1]), min(y1, b[2]), max(x2, b[3]), max(y2, b[4])
+                    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+            out[i] = (place, x1, y1, x2, y2, cx, cy)
+        return out
 
-    typed = F.struct(*[F.col(c).cast("int" if c in ("reading_order", "box_id") else "double").alias(c) for c in fields])
-    cols = df.groupBy("page_id", "column_number").agg(F.sort_array(F.collect_list(typed)).alias("boxes"))
-    page = df.schema["page_id"].dataType.simpleString()
-    return cols.mapInArrow(run, f"page_id {page}, column_number int, boxes {kind}").select("page_id", "column_number", F.inline("boxes")).drop("box_id")
+    fields = ["x1", "y1", "x2", "y2", "center_x", "center_y"]
+    slim = df.select("page_id", F.col("column_number").cast("int").alias("column_number"), F.col("reading_order").cast("int").alias("reading_order"), F.col("box_id").cast("int").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in fields])
+    kind = "reading_order int, " + ", ".join(f"{c} double" for c in fields)
+    order = ["reading_order", "box_id", *fields]
+    return _by_column(slim, order, [F.col(c) for c in ("reading_order", *fields)], fold, kind).select("page_id", "column_number", "_g.*")
 
 
 def add_issue(df: DataFrame) -> DataFrame:
     return df.withColumn("issue", ids.issue_of(F.col("filename")))
 
 
-def postprocess(df: DataFrame, least_height: float = 10, width_multiplier: float | None = 1.5, remove_abandon: bool = True, fill_columns: bool = True) -> DataFrame:
-    """The whole chain from detections to ordered boxes with ids."""
+def postprocess(df: DataFrame, least_height: float = 10, width_multiplier: float | None = 1.5, remove_abandon: bool = True, fill_columns: bool = True, partitions: int | None = None) -> DataFrame:
+    """The whole chain from detections to ordered boxes with ids.
+
+    Merging goes through Python, after which Spark deals pages out anew: into ``partitions`` by page, if given.
+    """
     df = reclassify_abandon(basic_box_data(add_issue(df)))
     if remove_abandon:
         df = drop_abandon(df)
@@ -253,6 +293,8 @@ def postprocess(df: DataFrame, least_height: float = 10, width_multiplier: float
     df = min_height(df, least_height)
     if width_multiplier is not None:
         df = merge_within_column(df, width_multiplier)
+        if partitions is not None:
+            df = df.repartition(partitions, "page_id")
     df = reading_order(adjust_y2(df))
     df = df.withColumn("box_page_id", ids.box_page_id(F.col("page_block"), F.col("column_number"), F.col("reading_order")))
     return df.withColumn("ratio", F.try_divide("height", "width"))

@@ -248,7 +248,7 @@ def dedupe_boxes(spark, sf_dir):
 
 @query(upto("done", "page_id, box_id, class, x1, x2, y1, y2, reading_order, 'B' || page_block || 'C' || column_number || 'R' || reading_order AS box_page_id, height / nullif(width, 0) AS ratio"))
 def postprocess_bbox(spark, sf_dir):
-    done = layout.postprocess(layout.normalise_class(synthetic.boxes(spark, sf_dir)))
+    done = layout.postprocess(layout.normalise_class(synthetic.boxes(spark, sf_dir)), partitions=synthetic.tasks(spark, sf_dir))
     return done.select(*BOX, "class", "x1", "x2", "y1", "y2", "reading_order", "box_page_id", "ratio")
 
 
@@ -364,7 +364,7 @@ SELECT page_id, class, box_page_id, k AS segment, a AS crop_x1, c AS crop_x2, b
     b + CASE WHEN whole THEN h ELSE least(k * step + size, h) END AS crop_y2, CASE WHEN class <> 'figure' AND h < w THEN floor((w - h) / 2::DOUBLE) ELSE 0 END::INT AS pad_top,
     page_id || '_' || class || '_' || box_page_id || '_segment_' || k AS custom_id FROM cut""")
 def request_plan(spark, sf_dir):
-    return requests.request_plan(layout.postprocess(layout.normalise_class(synthetic.boxes(spark, sf_dir))).withColumns({"page_width": F.lit(1200), "page_height": F.lit(2000)}))
+    return requests.request_plan(layout.postprocess(layout.normalise_class(synthetic.boxes(spark, sf_dir)), partitions=synthetic.tasks(spark, sf_dir)).withColumns({"page_width": F.lit(1200), "page_height": F.lit(2000)}))
 
 
 # --- responses and articles -----------------------------------------------------------------------------------------

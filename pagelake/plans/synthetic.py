@@ -52,12 +52,16 @@ FROM conversations
 ROWS_A_TASK = 150_000
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of boxes, by the number of order lines."""
+    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // ROWS_A_TASK))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of BOXES, dealt out once by page_id, which all windows of the layout chain share; the copies are made in place."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // ROWS_A_TASK))
     page = F.expr("l_orderkey div 4")
-    lines = lines.select(*ORDER_LINE, page.alias("page"), F.concat(page.cast("string"), F.lit("_page_1")).alias("page_id")).repartition(tasks, "page_id")
+    lines = lines.select(*ORDER_LINE, page.alias("page"), F.concat(page.cast("string"), F.lit("_page_1")).alias("page_id")).repartition(tasks(spark, sf_dir), "page_id")
     ranked = lines.withColumn("bx", F.row_number().over(Window.partitionBy("page_id").orderBy(*ORDER_LINE)))
     p, s, q, bx = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "bx"))
     span = p % 9 == 0
