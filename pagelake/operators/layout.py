@@ -128,14 +128,29 @@ def fill_column_gaps(df: DataFrame) -> DataFrame:
 
     The first and last box of a column each bring their new neighbour along, so
     the page's partitioning holds and nothing is computed twice. Page-wide
-    figures of the new boxes cover only the new boxes of the page.
+    figures of the new boxes cover only the new boxes of the page. They are
+    found before the new rows are made, in the order that rows come in from
+    ``adjust_y2``, so no rows are sorted here: on a page of one block a column
+    is a block's column.
     """
-    column = Window.partitionBy("page_id", "column_number")
-    df = df.withColumns({"_blocks": F.size(F.collect_set("page_block").over(by_page())), "_cols": F.max("column_number").over(by_page()), "_top": F.min("y1").over(by_page()), "_low": F.max("y2").over(by_page())})
+    column = Window.partitionBy("page_id", "page_block", "column_number")
+    page = lambda f, *c: f(*c).over(by_page())
+    names = df.columns
+    df = df.withColumns({"_one": page(F.min, "page_block") == page(F.max, "page_block"), "_cols": page(F.max, "column_number"), "_top": page(F.min, "y1"), "_low": page(F.max, "y2")})
     df = df.withColumns({"_first": F.min("reading_order").over(column), "_last": F.max("reading_order").over(column)})
-    ok = (F.col("_blocks") == 1) & (F.col("_cols") > 1) & (F.col("column_number") > 0)
-    above = ok & (F.col("reading_order") == F.col("_first")) & (F.col("y1") > F.col("_top"))
-    below = ok & (F.col("reading_order") == F.col("_last")) & (F.col("y2") < F.col("_low"))
+    ok = F.col("_one") & (F.col("_cols") > 1) & (F.col("column_number") > 0)
+    df = df.withColumns({
+        "_above": F.coalesce(ok & (F.col("reading_order") == F.col("_first")) & (F.col("y1") > F.col("_top")), F.lit(False)),
+        "_below": F.coalesce(ok & (F.col("reading_order") == F.col("_last")) & (F.col("y2") < F.col("_low")), F.lit(False)), "_w": F.col("x2") - F.col("x1"),
+    })
+    above, below = F.col("_above"), F.col("_below")
+    df = df.withColumns({
+        "_x1": page(F.min, F.when(above | below, F.col("x1"))), "_y1": page(F.min, F.least(F.when(above, F.col("_top")), F.when(below, F.col("y2")))),
+        "_x2": page(F.max, F.when(above | below, F.col("x2"))), "_y2": page(F.max, F.greatest(F.when(above, F.col("y1")), F.when(below, F.col("_low")))),
+        "_m": page(F.percentile, "_w", F.lit(0.5), above.cast("int") + below.cast("int")),
+    })
+    df = df.withColumns({"_pw": (F.col("_x2") - F.col("_x1")).cast("int"), "_ph": (F.col("_y2") - F.col("_y1")).cast("int")})
+    df = df.withColumn("_n", F.floor(F.try_divide("_pw", "_m")).cast("double"))
     df = df.select("*", F.explode(F.array_compact(F.array(F.lit(0), F.when(above, 1), F.when(below, 2)))).alias("_k"))
     new, up = F.col("_k") > 0, F.col("_k") == 1
     kept = {"page_id", "filename", "issue", "x1", "x2", "c1", "c2", "column_number", "page_block"}
@@ -143,8 +158,6 @@ def fill_column_gaps(df: DataFrame) -> DataFrame:
         "class": F.lit("text"), "y1": F.when(up, F.col("_top")).otherwise(F.col("y2")), "y2": F.when(up, F.col("y1")).otherwise(F.col("_low")),
         "reading_order": F.lit(-1), "box_id": F.when(up, -2).otherwise(-1),
     }
-    scratch = ["_blocks", "_cols", "_top", "_low", "_first", "_last"]
-    names = [c for c in df.columns if c not in (*scratch, "_k")]
 
     def value(c: str) -> Column:
         if c in kept:
@@ -152,11 +165,7 @@ def fill_column_gaps(df: DataFrame) -> DataFrame:
         old = F.when(~new, F.col(c))
         return old.otherwise(own[c]) if c in own else old
 
-    df = df.select(*[value(c).alias(c) for c in names], "_k")
-    mine = lambda f, c: f(F.when(new, F.col(c))).over(by_page())
-    df = df.withColumns({"_w": F.col("x2") - F.col("x1"), "_x1": mine(F.min, "x1"), "_y1": mine(F.min, "y1"), "_x2": mine(F.max, "x2"), "_y2": mine(F.max, "y2")})
-    df = df.withColumns({"_m": mine(F.median, "_w"), "_pw": (F.col("_x2") - F.col("_x1")).cast("int"), "_ph": (F.col("_y2") - F.col("_y1")).cast("int")})
-    df = df.withColumn("_n", F.floor(F.try_divide("_pw", "_m")).cast("double"))
+    df = df.select(*[value(c).alias(c) for c in names], *[c for c in df.columns if c not in names])
     figures = {
         "width": F.col("_w"), "height": F.col("y2") - F.col("y1"), "ratio": F.try_divide(F.col("y2") - F.col("y1"), F.col("_w")), "center_x": F.col("_w") + F.col("x1"),
         "center_y": F.col("y2"), "median_box_width": F.col("_m"), "print_x1": F.col("_x1"), "print_y1": F.col("_y1"), "print_x2": F.col("_x2"), "print_y2": F.col("_y2"),

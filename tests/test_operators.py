@@ -11,7 +11,7 @@ from pagelake.adapters import image_steps, infer, rendered_pages, retrying, stub
 from pagelake.functions import geometry, ids, text
 from pagelake.functions.knit import knit, knit_all
 from pagelake.operators import articles, compare, coverage, evaluate, jobs, labels, layout, requests, tables
-from pagelake.plans import synthetic
+from pagelake.plans import queries, synthetic
 from pagelake.sources import readers, remote, writers
 from tests.helpers import DATA
 
@@ -365,3 +365,23 @@ def test_coverage_of_a_page_in_pieces(monkeypatch):
     for cells in (1, 500, 1_000_000):
         monkeypatch.setattr(coverage, "CELLS", cells)
         assert coverage._areas(a, b, c, d, fig)[0].tolist() == want
+
+
+def sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_gaps_are_filled_without_sorting(spark):
+    widened = queries._widened(spark, DATA)
+    assert sorts(layout.fill_column_gaps(widened)) == sorts(widened)
+
+
+def test_new_boxes_of_a_page(spark):
+    rows = [("p", "p_page_1.png", "p", 1, "text", 1, 1, 0, 0.0, 40.0, 10.0, 20.0), ("p", "p_page_1.png", "p", 2, "text", 2, 2, 0, 50.0, 120.0, 0.0, 90.0), ("p", "p_page_1.png", "p", 3, "text", 3, 3, 0, 130.0, 200.0, 0.0, 100.0)]
+    kind = "page_id string, filename string, issue string, box_id int, class string, column_number int, reading_order int, page_block int, x1 double, x2 double, y1 double, y2 double"
+    more = "c1 c2 median_box_width print_x1 print_y1 print_x2 print_y2 column_width".split()
+    df = spark.createDataFrame(rows, kind).withColumns({c: F.lit(-5.0) for c in more})
+    new = layout.fill_column_gaps(df).where("box_id < 0").orderBy("column_number", "y1").collect()
+    assert [(r.box_id, r.column_number, r.x1, r.x2, r.y1, r.y2) for r in new] == [(-2, 1, 0, 40, 0, 10), (-1, 1, 0, 40, 20, 100), (-1, 2, 50, 120, 90, 100)]
+    # widths 40, 40 and 70: a box with two neighbours counts twice
+    assert {(r.median_box_width, r.print_x1, r.print_y1, r.print_x2, r.print_y2, r.column_width) for r in new} == {(40, 0, 0, 120, 100, 40)}
