@@ -58,11 +58,18 @@ def tasks(spark: SparkSession, sf_dir: str) -> int:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of BOXES, dealt out once by page_id, which all windows of the layout chain share; the copies are made in place."""
+    """The rows of BOXES, dealt out once by page_id, which all windows of the layout chain share.
+
+    Lines are copied before they are ranked, since making rows afterwards would lose their order and cost another sort.
+    ``line`` keeps equal lines apart, so that each copy stands behind its own line and takes its place.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     page = F.expr("l_orderkey div 4")
-    lines = lines.select(*ORDER_LINE, page.alias("page"), F.concat(page.cast("string"), F.lit("_page_1")).alias("page_id")).repartition(tasks(spark, sf_dir), "page_id")
-    ranked = lines.withColumn("bx", F.row_number().over(Window.partitionBy("page_id").orderBy(*ORDER_LINE)))
+    copies = F.when(F.col("l_partkey") % 17 == 0, F.array(F.lit(0), F.lit(1000))).otherwise(F.array(F.lit(0)))
+    lines = lines.select(*ORDER_LINE, F.monotonically_increasing_id().alias("line")).select("*", F.explode(copies).alias("more"))
+    lines = lines.withColumn("page_id", F.concat(page.cast("string"), F.lit("_page_1"))).repartition(tasks(spark, sf_dir), "page_id")
+    along = Window.partitionBy("page_id").orderBy(*ORDER_LINE, "line", "more").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = lines.withColumn("bx", F.count(F.when(F.col("more") == 0, 1)).over(along))
     p, s, q, bx = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "bx"))
     span = p % 9 == 0
     x1, y1 = F.when(span, p % 20).otherwise((s % 4) * 250 + p % 20), F.floor((bx - 1) / 4) * 160 + p % 60
@@ -71,10 +78,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((p % 7 == 0) & (F.col("l_returnflag") == "R"), "table").when(p % 13 == 0, "caption").otherwise("plain text")
     )
     confidence = F.expr("1 - l_discount")
-    copies = F.when(p % 17 == 0, F.array(F.lit(0), F.lit(1000))).otherwise(F.array(F.lit(0)))
-    found = ranked.where(~((F.col("page") % 3 == 0) & span)).select(
+    found = ranked.where(~((page % 3 == 0) & span)).select(
         "page_id", bx.alias("bx"), kind.alias("class"), confidence.cast("double").alias("c0"), F.expr("1 - l_discount - 0.01").cast("double").alias("c1"), x1.cast("double").alias("x1"),
-        y1.cast("double").alias("y1"), (x1 + F.when(span, 960).otherwise(200 + s % 30)).cast("double").alias("x2"), (y1 + 20 + 3 * q.cast("int")).cast("double").alias("y2"), F.explode(copies).alias("more"),
+        y1.cast("double").alias("y1"), (x1 + F.when(span, 960).otherwise(200 + s % 30)).cast("double").alias("x2"), (y1 + 20 + 3 * q.cast("int")).cast("double").alias("y2"), "more",
     )
     return found.select(
         F.concat("page_id", F.lit(".png")).alias("filename"), "page_id", (F.col("bx") + F.col("more")).cast("int").alias("box_id"), "class", F.when(F.col("more") == 0, F.col("c0")).otherwise(F.col("c1")).alias("confidence"),

@@ -385,3 +385,20 @@ def test_new_boxes_of_a_page(spark):
     assert [(r.box_id, r.column_number, r.x1, r.x2, r.y1, r.y2) for r in new] == [(-2, 1, 0, 40, 0, 10), (-1, 1, 0, 40, 20, 100), (-1, 2, 50, 120, 90, 100)]
     # widths 40, 40 and 70: a box with two neighbours counts twice
     assert {(r.median_box_width, r.print_x1, r.print_y1, r.print_x2, r.print_y2, r.column_width) for r in new} == {(40, 0, 0, 120, 100, 40)}
+
+
+def test_boxes_are_sorted_once(spark):
+    assert sorts(queries.QUERIES["box_basic"](spark, DATA)) == 1
+
+
+def test_reading_order_sorts(spark):
+    assert sorts(queries.QUERIES["reading_order"](spark, DATA)) == 3  # lines, equal boxes, reading order
+
+
+def test_copies_of_equal_lines(spark, tmp_path):
+    line = (8, 1, 17, 3, 5.0, 10.0, 0.1, "N")
+    kind = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
+    spark.createDataFrame([line, line, (8, 2, 18, *line[3:]), (8, 3, 34, *line[3:])], kind).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = synthetic.boxes(spark, str(tmp_path)).collect()
+    assert sorted(r.box_id for r in found) == [1, 2, 3, 4, 1001, 1002, 1004]
+    assert {r.box_id: r.confidence for r in found}[1004] == pytest.approx(0.89)
