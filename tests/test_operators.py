@@ -376,6 +376,11 @@ def test_gaps_are_filled_without_sorting(spark):
     assert sorts(layout.fill_column_gaps(widened)) == sorts(widened)
 
 
+def test_min_height_sorts_no_rows(spark):
+    # lines, equal boxes, reading order, the next box of a column; none for the gaps
+    assert sorts(queries.QUERIES["min_height"](spark, DATA)) == 4
+
+
 def test_new_boxes_of_a_page(spark):
     rows = [("p", "p_page_1.png", "p", 1, "text", 1, 1, 0, 0.0, 40.0, 10.0, 20.0), ("p", "p_page_1.png", "p", 2, "text", 2, 2, 0, 50.0, 120.0, 0.0, 90.0), ("p", "p_page_1.png", "p", 3, "text", 3, 3, 0, 130.0, 200.0, 0.0, 100.0)]
     kind = "page_id string, filename string, issue string, box_id int, class string, column_number int, reading_order int, page_block int, x1 double, x2 double, y1 double, y2 double"
