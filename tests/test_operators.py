@@ -400,6 +400,10 @@ def test_reading_order_sorts(spark):
     assert sorts(queries.QUERIES["reading_order"](spark, DATA)) == 3  # lines, equal boxes, reading order
 
 
+def test_adjust_y2_sorts(spark):
+    assert sorts(queries.QUERIES["adjust_y2"](spark, DATA)) == 3  # lines, equal boxes, the next box of a column
+
+
 def test_copies_of_equal_lines(spark, tmp_path):
     line = (8, 1, 17, 3, 5.0, 10.0, 0.1, "N")
     kind = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
