@@ -60,14 +60,14 @@ def tasks(spark: SparkSession, sf_dir: str) -> int:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of BOXES, dealt out once by page_id, which all windows of the layout chain share.
 
-    Lines are copied before they are ranked, since making rows afterwards would lose their order and cost another sort.
+    Lines are copied after they are dealt and before they are ranked, since making rows afterwards would lose their order and cost another sort.
     ``line`` keeps equal lines apart, so that each copy stands behind its own line and takes its place.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     page = F.expr("l_orderkey div 4")
     copies = F.when(F.col("l_partkey") % 17 == 0, F.array(F.lit(0), F.lit(1000))).otherwise(F.array(F.lit(0)))
-    lines = lines.select(*ORDER_LINE, F.monotonically_increasing_id().alias("line")).select("*", F.explode(copies).alias("more"))
-    lines = lines.withColumn("page_id", F.concat(page.cast("string"), F.lit("_page_1"))).repartition(tasks(spark, sf_dir), "page_id")
+    lines = lines.select(*ORDER_LINE, F.concat(page.cast("string"), F.lit("_page_1")).alias("page_id")).repartition(tasks(spark, sf_dir), "page_id")
+    lines = lines.withColumn("line", F.monotonically_increasing_id()).select("*", F.explode(copies).alias("more"))
     along = Window.partitionBy("page_id").orderBy(*ORDER_LINE, "line", "more").rowsBetween(Window.unboundedPreceding, 0)
     ranked = lines.withColumn("bx", F.count(F.when(F.col("more") == 0, 1)).over(along))
     p, s, q, bx = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "bx"))
